@@ -11,8 +11,16 @@ def op6_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe_encode_decode(spark, sf_dir):
+    import public_tokenizers
+
+    from .bpe import encode
+
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op6_ngram_jaccard_join, op8_bpe_encode_decode)}
 
 
 def oracle_sql() -> dict[str, str]:
