@@ -40,7 +40,7 @@ _PARTS = schema(part="int", batch="long", counts="binary", tokens="binary", info
 _SHARED = schema(part="int", batch="long", docs="binary", tokens="binary", df="binary", info="binary")
 _SETS = schema(doc_id="long", n="int", fp="binary", uniq="int", n_rare="int", score="float", seq="binary")
 _INDEX = schema(part="int", docs="binary", bits="binary", keys="binary", at="binary", pos="binary")
-_DOC = np.dtype([("id", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("score", "<f4")])
+_DOC = np.dtype([("id", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("uniq", "<i4"), ("score", "<f4")])
 _INFO = np.dtype([("valid", "u1"), ("id", "<i8"), ("n", "<i4"), ("fp", "V16")])
 
 
@@ -142,7 +142,7 @@ def _gather(num: int, rare: int):
 
 def _words_of(n) -> int:
     """64-bit words of the parity bitmap of a set of n tokens."""
-    return max(1, 1 << (2 * int(n) - 1).bit_length() >> 6)
+    return max(1, 1 << (4 * int(n) - 1).bit_length() >> 6)
 
 
 def _bitmap(seq: np.ndarray, words: int) -> np.ndarray:
@@ -177,7 +177,7 @@ def _index(parts: int, num: int):
             if not m:
                 continue
             docs = np.zeros(m, _DOC)
-            for a, c in (("id", "doc_id"), ("comp", "comp"), ("n", "n"), ("score", "score")):
+            for a, c in (("id", "doc_id"), ("comp", "comp"), ("n", "n"), ("uniq", "uniq"), ("score", "score")):
                 docs[a] = cols[c].to_numpy(zero_copy_only=False)
             uniq, n_rare = cols["uniq"].to_numpy(), cols["n_rare"].to_numpy()
             keys, pos, bits = [], [], []
@@ -236,7 +236,7 @@ class _Bucket:
         return (self.docs["comp"][a] != self.docs["comp"][b]) & (np.minimum(na, nb) >= need) & (most >= need)
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Parity bitmaps: the overlap is at most (sizes - differing bits) / 2."""
+        """Parity bitmaps of the shared tokens: the overlap is at most (their numbers - differing bits) / 2."""
         out = np.zeros(len(a), bool)
         swap = self.words[a] > self.words[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -249,7 +249,8 @@ class _Bucket:
                     y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
                 differ = np.bitwise_count(self.bits[wa][self.row[a[x]]] ^ y).sum(1, dtype=np.int64)
                 total = self.n[a[x]] + self.n[b[x]]
-                out[x] = (total - differ) // 2 >= -(-total * self.num // (100 + self.num))
+                shared = total - self.docs["uniq"][a[x]] - self.docs["uniq"][b[x]]
+                out[x] = (shared - differ) // 2 >= -(-total * self.num // (100 + self.num))
         return out
 
     def distinct(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
