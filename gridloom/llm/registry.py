@@ -11,6 +11,12 @@ def op6_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark, sf_dir):
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe_encode_decode(spark, sf_dir):
     import public_tokenizers
 
@@ -19,8 +25,17 @@ def op8_bpe_encode_decode(spark, sf_dir):
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_mix_sources(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .mixing import mix
+
+    rows = mix(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("long").alias("taken"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_ngram_jaccard_join, op8_bpe_encode_decode)}
+    return {f.__name__: f for f in (op6_ngram_jaccard_join, op7_toxicity, op8_bpe_encode_decode, op9_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,9 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+#: Letters only: ASCII letters and all bytes of other characters.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _CHUNK = 1 << 21  # bytes hashed at a time: bounds the temporaries, whatever a text's length
 
 
@@ -60,12 +63,12 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every word, in order; no word crosses an offset."""
+def word_spans(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word (run of bytes of the kind), in order; no word crosses an offset."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = _IS_WORD[data]
+    inside = kind[data]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     start = inside.copy()
