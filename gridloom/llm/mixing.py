@@ -5,7 +5,7 @@ three times its source's words and the excess is shared anew by weight (the fixe
 
 Every source's documents are dealt by hash into BLOCKS blocks: a random permutation of the documents, cut in blocks.
 A source's quota is an exact number of block copies: whole passes over its blocks, then the first blocks of one
-more pass, the last of which is taken in part, and the one later block that fits what is then missing best.  A splitting tree deals the
+more pass, the last of which is taken in part, and the next document or one later block, as it fits what is then missing.  A splitting tree deals the
 quotas to the output shards: at each node, how many of each source's block copies go left is drawn from the
 multivariate hypergeometric distribution (source by source, by inversion around the mode).  Each shard then draws its
 quota as the next blocks of each source's permuted sequence, so draws are disjoint, and is shuffled locally.
@@ -108,15 +108,18 @@ def mix(docs: DataFrame, source: str = "source", shards: int = SHARDS) -> DataFr
     def small(df):
         return F.broadcast(df) if sources <= BROADCAST_SOURCES else df
 
-    # The block in which a source's last pass ends: its documents by hash, as far as the target allows; then the later block that fits what is left best.
+    # The block in which a source's last pass ends: its documents by hash, as far as the target allows; then its next
+    # document or the later block, whichever fits what is left better.
     ends = small(plan.select(F.col("__source").alias("s"), "cut_block", "part"))
     at = rows.select("__source", "__block", "__h", "doc_id", "text", "size").join(ends, F.col("__source").eqNullSafe(F.col("s")) & (F.col("__block") == F.col("cut_block")))
     upto = F.sum("size").over(Window.partitionBy("s").orderBy("__h"))
-    cut = at.select("s", "__h", "part", "size").withColumn("upto", upto).where("upto <= part").groupBy("s").agg(F.max("__h").alias("cut_h"), F.sum("size").alias("had"))
+    cut = at.select("s", "__h", "part", "size").withColumn("upto", upto)
+    cut = cut.groupBy("s").agg(F.expr("max(if(upto <= part, __h, null)) as cut_h"), F.expr("sum(if(upto <= part, size, 0)) as had"), F.expr("min(if(upto > part, struct(upto - part as over, __h as h), null)) as next"))
     plan = plan.join(cut, F.col("__source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("gap", F.expr("part - coalesce(had, 0)"))
     fits = words.join(small(plan.select(F.col("__source").alias("s"), "cut_block", "gap")), F.col("__source").eqNullSafe(F.col("s")))
     fits = fits.where("__block > cut_block and words > 0 and words < 2 * gap").groupBy("s").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("words")).alias("d"), "__block")).alias("f"))
-    plan = plan.join(fits.select("s", F.col("f.__block").alias("extra")), F.col("__source").eqNullSafe(F.col("s")), "left").drop("s")
+    plan = plan.join(fits.select("s", "f"), F.col("__source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("one", F.expr("next.over < least(gap, coalesce(f.d, gap))"))
+    plan = plan.withColumn("extra", F.expr("if(coalesce(one, false), null, f.__block)")).withColumn("cut_h", F.expr("if(coalesce(one, false), next.h, cut_h)"))
     plan = scratch.keep(plan.withColumn("quota", F.expr("quota + if(extra is null, 0, 1)")))
     of = plan.join(_shards_of(plan, shards), "rank")
     of = small(scratch.keep(of.select(F.col("__source").alias("s"), "source_size", "target", "passes", "cut_block", "cut_h", "extra", "shard_of")))
