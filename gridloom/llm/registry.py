@@ -34,8 +34,14 @@ def op9_mix_sources(spark, sf_dir):
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("long").alias("taken"))
 
 
+def op10_line_dedup(spark, sf_dir):
+    from .lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"), ("n_lines", "n_removed", "kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_ngram_jaccard_join, op7_toxicity, op8_bpe_encode_decode, op9_mix_sources)}
+    return {f.__name__: f for f in (op6_ngram_jaccard_join, op7_toxicity, op8_bpe_encode_decode, op9_mix_sources, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
