@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 from .common import docs_of, schema
 
-MOST_PIECES, MOST_PAIRS = 300_000, 600_000  # entries of a worker's caches; a full one starts anew
+MOST_PIECES, MOST_PAIRS = 900_000, 600_000  # entries of a worker's caches; a full one starts anew
 #: Texts of other characters than these are normalised and split by the library's own code, since Unicode versions differ on newer characters.
 _SETTLED = regex.compile(r"[\u0000-\u052f\u1e00-\u1fff\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]*+")
 #: Columns that encode() can make from the ids of each text.
@@ -43,6 +43,22 @@ def byte_chars() -> list[str]:
     return out
 
 
+class _Pieces(dict):
+    """Of each piece seen: its ids and their decoded text, both joined by one space."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe = bpe
+
+    def __missing__(self, piece: str) -> tuple[str, str]:
+        if len(self) >= MOST_PIECES:
+            self.clear()
+        ids = self.bpe.encode_piece(piece)
+        out = " ".join(map(str, ids)), self.bpe.decode(ids)
+        if len(piece) <= 64:
+            self[piece] = out
+        return out
+
+
 class Bpe:
     """A tokenizer file of byte-level BPE with word-end suffix, lower-casing normaliser and a splitting pattern."""
 
@@ -82,7 +98,7 @@ class Bpe:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[str, str]] = {}
+        self.pieces = _Pieces(self)
 
     def merged(self, tokens: list[int], wall: int = -1) -> list[int] | None:
         """Plain BPE of a few tokens; None as soon as a merge would cross the wall (the count of symbols before it)."""
@@ -141,16 +157,6 @@ class Bpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case goes by character: no final sigma
         return self.split(text.lower())
 
-    def known(self, piece: str) -> tuple[str, str]:
-        """The ids of a piece and their decoded text, each joined by one space."""
-        if len(self.pieces) >= MOST_PIECES:
-            self.pieces.clear()
-        ids = self.encode_piece(piece)
-        out = " ".join(map(str, ids)), self.decode(ids)
-        if len(piece) <= 64:
-            self.pieces[piece] = out
-        return out
-
     def both(self, text: str) -> tuple[str, str]:
         """A text's ids and decoded text, each joined by one space."""
         found: list[tuple[str, str]] = []
@@ -158,8 +164,7 @@ class Bpe:
             if k % 2:
                 found.append((str(self.specials[part]), part))
                 continue
-            get, known = self.pieces.get, self.known
-            found += [get(p) or known(p) for p in self.pieces_of(part)]
+            found += map(self.pieces.__getitem__, self.pieces_of(part))
         return " ".join([x for x, _ in found]), " ".join([y for _, y in found])
 
     def encode(self, text: str) -> list[int]:
