@@ -5,6 +5,12 @@ from __future__ import annotations
 from .common import table
 
 
+def op5_secret_scan(spark, sf_dir):
+    from .secrets import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark, sf_dir):
     from .jaccard import jaccard_components
 
@@ -41,7 +47,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_ngram_jaccard_join, op7_toxicity, op8_bpe_encode_decode, op9_mix_sources, op10_line_dedup)}
+    return {f.__name__: f for f in (op5_secret_scan, op6_ngram_jaccard_join, op7_toxicity, op8_bpe_encode_decode, op9_mix_sources, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
