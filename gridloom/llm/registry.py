@@ -5,6 +5,12 @@ from __future__ import annotations
 from .common import table
 
 
+def op1_exact_top_k(spark, sf_dir):
+    from .topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op5_secret_scan(spark, sf_dir):
     from .secrets import report
 
@@ -47,7 +53,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_secret_scan, op6_ngram_jaccard_join, op7_toxicity, op8_bpe_encode_decode, op9_mix_sources, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_exact_top_k, op5_secret_scan, op6_ngram_jaccard_join, op7_toxicity, op8_bpe_encode_decode, op9_mix_sources, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
