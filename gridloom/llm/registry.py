@@ -11,6 +11,12 @@ def op1_exact_top_k(spark, sf_dir):
     return exact_top_k(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op2_html_text(spark, sf_dir):
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_nearest_neighbours(spark, sf_dir):
     from .ann import nearest
 
@@ -59,7 +65,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op3_nearest_neighbours, op5_secret_scan, op6_ngram_jaccard_join, op7_toxicity, op8_bpe_encode_decode, op9_mix_sources, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_html_text, op3_nearest_neighbours, op5_secret_scan, op6_ngram_jaccard_join, op7_toxicity, op8_bpe_encode_decode, op9_mix_sources, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
