@@ -31,6 +31,7 @@ LEXICON = 188  # lexicon voters, of those features
 STEMS = (4, 5)
 ROUNDS = 8  # of EM
 _PATTERNS = 4
+_CHUNK = 4096
 
 
 def _features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,17 +184,21 @@ def _expect(model: LabelModel, second: bool):
                 sums = np.concatenate(parts)
                 total = sums if total is None else total + sums
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "x"])
+            chunks = range(0, len(total), _CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array([k // _CHUNK for k in chunks], pa.int32()), pa.array([total[k : k + _CHUNK].tobytes() for k in chunks], pa.binary())], names=["k", "x"])
 
     return run
 
 
+def _add(t: pa.Table) -> pa.Table:
+    return pa.table([t["k"][:1], pa.array([sum(np.frombuffer(x.as_py()) for x in t["x"]).tobytes()], pa.binary())], names=["k", "x"])
+
+
 def _sums(patterns: DataFrame, model: LabelModel, second: bool = False) -> np.ndarray:
     size = 1 + model.n + model.n**2 if second else 2 + 2 * model.n
-    rows = patterns.mapInArrow(_expect(model, second), schema(k="long", x="double")).groupBy("k").agg(F.sum("x").alias("x")).toArrow()
-    out = np.zeros(size)
-    out[rows["k"].to_numpy()] = rows["x"].to_numpy()
-    return out
+    kind = schema(k="int", x="binary")
+    rows = patterns.mapInArrow(_expect(model, second), kind).groupBy("k").applyInArrow(_add, kind).toArrow().sort_by("k")
+    return np.concatenate([np.zeros(0), *(np.frombuffer(x.as_py()) for x in rows["x"])]) if len(rows) else np.zeros(size)
 
 
 def _fit(rows: np.ndarray, at: np.ndarray, n: int, q: np.ndarray, ridge: float = 0.1, steps: int = 300) -> tuple[np.ndarray, float]:
