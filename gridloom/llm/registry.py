@@ -23,6 +23,12 @@ def op3_nearest_neighbours(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op4_substring_dedup(spark, sf_dir):
+    from .substrings import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"), ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
 def op5_secret_scan(spark, sf_dir):
     from .secrets import report
 
@@ -65,7 +71,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_html_text, op3_nearest_neighbours, op5_secret_scan, op6_ngram_jaccard_join, op7_toxicity, op8_bpe_encode_decode, op9_mix_sources, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_html_text, op3_nearest_neighbours, op4_substring_dedup, op5_secret_scan, op6_ngram_jaccard_join, op7_toxicity, op8_bpe_encode_decode, op9_mix_sources, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
