@@ -70,8 +70,14 @@ def op10_line_dedup(spark, sf_dir):
     return dedup_lines(table(spark, sf_dir, "documents"), ("n_lines", "n_removed", "kept_sha256"))
 
 
+def pipeline(spark, sf_dir):
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_html_text, op3_nearest_neighbours, op4_substring_dedup, op5_secret_scan, op6_ngram_jaccard_join, op7_toxicity, op8_bpe_encode_decode, op9_mix_sources, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_html_text, op3_nearest_neighbours, op4_substring_dedup, op5_secret_scan, op6_ngram_jaccard_join, op7_toxicity, op8_bpe_encode_decode, op9_mix_sources, op10_line_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, docs_of, schema, slices
 from .words import LETTERS, U64, flat, span_hashes, word_spans
@@ -219,7 +220,7 @@ def _fit(rows: np.ndarray, at: np.ndarray, n: int, q: np.ndarray, ridge: float =
     return w, b
 
 
-def _score(known: np.ndarray, w: np.ndarray, bias: float):
+def _score(known: np.ndarray, w: np.ndarray, bias: float, own: list[str]):
     def run(batches):
         find = _Lookup(known)
         for whole in batches:
@@ -227,21 +228,19 @@ def _score(known: np.ndarray, w: np.ndarray, bias: float):
                 data, offs = flat(b.column("text"))
                 rows, at = find(*_features(data, offs))
                 z = bias + np.bincount(rows, w[at], len(b))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=["doc_id", "held_out", "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=[*own, "score"])
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs (doc_id, text); labels: doc_id, toxic 0 or 1."""
+def _learn(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """The classifier's features, their weights and its bias."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    docs = docs_of(docs, "doc_id", "text").withColumn("held_out", F.coalesce(fold == 0, F.lit(False)))
-    learn = docs.where("doc_id is not null and not held_out")
+    learn = docs_of(docs, "doc_id", "text").where(fold != 0)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold != 0)
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow()
-    score = schema(doc_id="long", held_out="boolean", score="double")
     known, w, bias = np.zeros(0, U64), np.zeros(0), -50.0
     if len(marks):
         # Its rows are bounded by the sample's documented size.
@@ -278,5 +277,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         lengths = np.array([len(v.as_py()) // 2 for v in rows["features"]])
         at = np.frombuffer(b"".join(v.as_py() for v in rows["features"]), "<u2").astype(np.int64)
         w, bias = _fit(np.repeat(np.arange(len(y)), lengths), at, len(known), q)
-    out = docs.mapInArrow(_score(known, w, bias), score)
-    return out.withColumn("predicted", F.expr("if(score >= 0.5, 1, 0)"))
+    return known, w, bias
+
+
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs (doc_id, text and more) with a score last (which replaces a column of that name); labels: doc_id, toxic 0 or 1."""
+    known, w, bias = _learn(docs, labels, sample)
+    rows = docs.drop("score").withColumn("text", F.col("text").cast("string"))
+    return rows.mapInArrow(_score(known, w, bias, rows.columns), T.StructType([*rows.schema, T.StructField("score", T.DoubleType())]))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs."""
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    out = scored(docs_of(docs, "doc_id", "text"), labels, sample)
+    return out.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", F.expr("if(score >= 0.5, 1, 0)").alias("predicted"))
