@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, components, schema, slices
 from .words import _BYTE, _MUL, U64, _power, flat, mix64, span_hashes
@@ -32,9 +33,10 @@ LEAST = 24
 HOT = 64
 BLOCK = 4096
 ENTRIES_PER_PART = 3_000_000
+TYPICAL = 200  # bytes of a line, to set the number of parts; shorter lines make larger parts, by a factor of TYPICAL / LEAST at most
 _INDEX = schema(part="int", lines="binary", sigs="binary", keys="binary", at="binary", role="binary")
 _FOUND = schema(key="long", u="long", v="long", sig="long")
-_LINES = schema(k="long", line="int", h="long")
+_LINES = schema(k="long", t="long", line="int", h="long")
 
 
 def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,8 +68,8 @@ def _occurrences(least: int):
         for whole in batches:
             for b in slices(whole, "text"):
                 _, _, row, number, h = _long_lines(*flat(b.column("text")), least)
-                k = b.column("k").to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(number.astype(np.int32)), pa.array(h.view(np.int64))], names=_LINES.names)
+                k, t = (b.column(c).to_numpy()[row] for c in "kt")
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(t), pa.array(number.astype(np.int32)), pa.array(h.view(np.int64))], names=_LINES.names)
 
     return run
 
@@ -99,12 +101,11 @@ def _entries(length: np.ndarray, edits: int):
 
 def _signature(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Sixteen counts of bytes by low bits, each modulo 16."""
-    out = np.zeros(len(start), U64)
-    low = data & 15
-    for c in range(16):
-        total = np.concatenate([[0], np.cumsum(low == c)])
-        out |= ((total[end] - total[start]) & 15).astype(U64) << U64(4 * c)
-    return out
+    size = end - start
+    first = np.cumsum(size) - size
+    at = np.repeat(start - first, size) + np.arange(size.sum())
+    counts = np.bincount(np.repeat(np.arange(0, 16 * len(start), 16), size) + (data[at] & 15), minlength=16 * len(start)).reshape(-1, 16)
+    return ((counts & 15).astype(U64) << (U64(4) * np.arange(16, dtype=U64))).sum(1, dtype=U64)
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,7 +120,7 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _index(parts: int, edits: int, least: int):
     def run(batches):
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text", 1 << 20):
                 data, offs = flat(b.column("text"))
                 start, end, _, _, h = _long_lines(data, offs, least)
                 _, one = np.unique(h, return_index=True)
@@ -323,9 +324,8 @@ class LineDedup:
 
     def links(self) -> DataFrame:
         """Near pairs (u, v) of line hashes: enough to connect every class."""
-        total = self.texts.agg(F.sum(F.octet_length("text")), F.sum(F.length(F.translate("text", "\n", "")) - F.length("text"))).first()
-        lines = min((total[0] or 0) // self.least, self.docs.count() - (total[1] or 0))
-        parts = max(8, -(-lines * 5 * (self.edits + 1) // ENTRIES_PER_PART))
+        total = self.texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(8, -(-total * 5 * (self.edits + 1) // (TYPICAL * ENTRIES_PER_PART)))
         dealt = self.texts.mapInArrow(_index(parts, self.edits, self.least), _INDEX)
         found = self.scratch.keep(dealt.repartition(parts, "part").groupBy("part").applyInArrow(_meet(self.edits, HOT), _FOUND))
         pairs = found.where("v is not null").select("u", "v")
@@ -346,35 +346,31 @@ class LineDedup:
         return first.union(self._verified(rest))
 
     def repeats(self) -> DataFrame:
-        """(k, line, h): the lines that go; k is the doc_id, the largest long for null."""
-        lines = self.docs.mapInArrow(_occurrences(self.least), _LINES)
+        """(k, t, line): the lines that go; k is the doc_id, the largest long for null, and t the hash of the text."""
+        lines = self.docs.withColumn("t", F.xxhash64("text")).mapInArrow(_occurrences(self.least), _LINES)
         roots = components(self.spark, self.links(), self.scratch)
-        of = self.scratch.keep(lines.join(roots.withColumnRenamed("node", "h"), "h", "left").select("k", "line", "h", F.coalesce("root", "h").alias("c")))
+        of = self.scratch.keep(lines.join(roots.withColumnRenamed("node", "h"), "h", "left").select("k", "t", "line", F.coalesce("root", "h").alias("c")))
         first = of.groupBy("c").agg(F.min(F.struct("k", "line")).alias("first"), F.max(F.struct("k", "line")).alias("last")).where("first <> last").select("c", "first")
-        return of.join(first, "c").where("struct(k, line) <> first").select("k", "line", "h")
+        return of.join(first, "c").where("struct(k, line) <> first").select("k", "t", "line")
+
 
+def _cut(want: list[str], own: list[str]):
+    kinds = {"n_lines": pa.int64(), "n_removed": pa.int64()}
 
-def _cut(least: int, want: list[str]):
     def run(batches):
         for b in batches:
             out = {c: [] for c in want}
             for text, gone in zip(b.column("text"), b.column("gone")):
-                raw = (text.as_py() or "").encode()
-                data = np.frombuffer(raw, np.uint8)
-                start, end, _, number = line_spans(data, np.array([0, len(data)]))
-                keep = np.ones(len(start), bool)
-                if gone.is_valid:
-                    h = np.zeros(len(start), np.int64)
-                    long = end - start >= least
-                    h[long] = span_hashes(data, start[long], end[long], lower=False).view(np.int64)
-                    marks = {(x["line"], x["h"]) for x in gone.as_py()}
-                    keep = np.array([(i, x) not in marks for i, x in zip(number.tolist(), h.tolist())], bool)
-                kept = b"\n".join([raw[s:e] for s, e, k in zip(start.tolist(), end.tolist(), keep.tolist()) if k])
-                row = {"n_lines": len(start), "n_removed": int(len(keep) - keep.sum()), "kept": kept.decode() if text.is_valid else None, "kept_sha256": hashlib.sha256(kept).hexdigest() if "kept_sha256" in want else None}
+                kept = text.as_py()
+                lines = kept.split("\n") if kept else []
+                marks = set(gone.as_py() or ())
+                if marks:
+                    kept = "\n".join([x for i, x in enumerate(lines) if i not in marks])
+                row = {"n_lines": len(lines), "n_removed": len(marks), "kept": kept}
+                if "kept_sha256" in want:
+                    row["kept_sha256"] = hashlib.sha256((kept or "").encode()).hexdigest()
                 for c in want:
                     out[c].append(row[c])
-            kinds = {"n_lines": pa.int64(), "n_removed": pa.int64()}
-            own = [c for c in b.schema.names if c not in ("gone", "k")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *(pa.array(out[c], kinds.get(c, pa.string())) for c in want)], names=[*own, *want])
 
     return run
@@ -383,11 +379,10 @@ def _cut(least: int, want: list[str]):
 def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("n_lines", "n_removed", "kept"), edits: int = EDITS, least: int = LEAST, keep: tuple[str, ...] | None = None) -> DataFrame:
     """A row of docs each: the columns in keep (doc_id if None), then of n_lines, n_removed, kept (the text left) and kept_sha256 those wanted."""
     keep = ("doc_id",) if keep is None else keep
-    gone = LineDedup(docs, edits, least).repeats().groupBy("k").agg(F.collect_list(F.struct("line", "h")).alias("gone"))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k"), *[F.col(c) for c in dict.fromkeys([*keep, "text"])])
-    rows = own.join(gone, "k", "left")
+    gone = LineDedup(docs, edits, least).repeats().groupBy("k", "t").agg(F.collect_set("line").alias("gone"))
+    text = F.col("text").cast("string")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__k"), F.xxhash64(text).alias("__t"), text.alias("__text"), *[F.col(c) for c in keep])
+    rows = own.join(gone.select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("gone").alias("__gone")), ["__k", "__t"], "left").withColumnsRenamed({"__text": "text", "__gone": "gone"})
     kinds = {"n_lines": "long", "n_removed": "long", "kept": "string", "kept_sha256": "string"}
-    out = own.drop("k").schema
-    for c in columns:
-        out = out.add(schema(**{c: kinds[c]})[0])
-    return rows.mapInArrow(_cut(least, list(columns)), out).select(*keep, *columns)
+    out = T.StructType([*docs.select(*keep).schema, *schema(**{c: kinds[c] for c in columns})])
+    return rows.mapInArrow(_cut(list(columns), list(keep)), out)

@@ -18,7 +18,7 @@ _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 #: Letters only: ASCII letters and all bytes of other characters.
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_CHUNK = 1 << 21  # bytes hashed at a time: bounds the temporaries, whatever a text's length
+_CHUNK = 1 << 18  # bytes hashed at a time: bounds the temporaries, whatever a text's length
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
