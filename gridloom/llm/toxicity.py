@@ -12,7 +12,7 @@
 
 Only rows with crc32(doc_id as text) % 5 <> 0 are learned from.  Defined cases: null and empty texts get the
 score of a text without words; a null doc_id is never learned from and not held out; of several labels of a doc_id
-the largest counts; null labels are left out; with no labelled toxic row, or no labels at all, every score is the prior (0 without labels).
+the largest counts; null labels are left out; without labelled rows among the texts every score is 0.
 """
 
 from __future__ import annotations
@@ -152,7 +152,7 @@ class LabelModel:
         """From expected counts of rows and votes in each class, besides the labelled ones."""
         rows, votes = self.seen[0] + rows, self.seen[1] + votes
         self.rate = (votes + 0.05) / (rows + 1)
-        self.prior = float((rows[1] + 0.5) / (rows.sum() + 1))
+        self.prior = float(rows[1, 0] + 0.5) / float(rows.sum() + 1)
         self.on = np.log(self.rate[1] / self.rate[0]) * self.discount
         self.off = np.log((1 - self.rate[1]) / (1 - self.rate[0])) * self.discount
 
@@ -260,6 +260,8 @@ def _learn(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray,
         pos, neg = found["pos"].to_numpy(), found["neg"].to_numpy()
         voters = np.flatnonzero((pos + 0.5) * (n_neg + 1) > 8 * (neg + 0.5) * (n_pos + 1))[:LEXICON]
         rows = rows.mapInArrow(_vote(known, voters, True), schema(votes="binary", features="binary", toxic="int")).toArrow()
+        if not len(rows):
+            return np.zeros(0, U64), w, bias
         x, y = _unpack(rows["votes"], len(voters) + _PATTERNS), rows["toxic"].to_numpy().astype(float)
         model = LabelModel(len(voters) + _PATTERNS, x, y)
         patterns = scratch.keep(learn.select("text").mapInArrow(_vote(known, voters, False), schema(votes="binary")).groupBy("votes").agg(F.count("*").alias("rows")))
