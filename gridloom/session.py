@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -15,6 +18,22 @@ _DDL = re.compile(r"^\s*CREATE\s+EXTERNAL\s+TABLE\s+(IF\s+NOT\s+EXISTS\s+)?([\w.
 _KINDS = {"ZARR_STORE": "zarr", "ICECHUNK_REPO": "icechunk"}
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the workers, once for an application, so that they need no copy of it on their path."""
+    app, top = spark.sparkContext.applicationId, Path(__file__).parent
+    if app in _shipped or not top.is_dir():
+        return
+    to = Path(tempfile.mkdtemp(prefix="gridloom-code-")) / "gridloom.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(to))
+    _shipped.add(app)
+
+
 def register(spark: SparkSession) -> SparkSession:
     """Makes the format "zarr" known to a session and lets filters reach it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
