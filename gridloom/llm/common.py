@@ -54,10 +54,17 @@ def docs_of(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(c).cast("long" if c in ids else "string").alias(c) for c in columns])
 
 
-def text_parts(df: DataFrame, column: str, per_part: int, least: int = 1) -> tuple[int, int]:
-    """Bytes of all texts, and how many parts of per_part bytes that makes."""
-    total = df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
-    return total, max(least, -(-total // per_part))
+KEYS, MOST_KEYS, MANY_PARTS = 3_000_000, 32_000_000, 4096
+
+
+def parts_for(keys: int, least: int = 8) -> int:
+    """How many parts to deal so many 8-byte keys into: KEYS in each, and from MANY_PARTS parts on up to MOST_KEYS.
+
+    A part is sorted in one Python worker (some 30 bytes a key). Every batch of texts sends a blob to each part, so parts must not grow
+    as fast as the input once there are thousands of them.
+    """
+    n = -(-keys // KEYS)
+    return max(least, n if n <= MANY_PARTS else max(MANY_PARTS, -(-keys // MOST_KEYS)))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):

@@ -29,12 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, docs_of, schema, slices
+from .common import Scratch, components, docs_of, parts_for, schema, slices
 from .words import U64, distinct_shingles, flat, mix64
 
 RARE = 64  # most documents of a token that is indexed alone
 COMBINE_TO, ALONE_FROM = 240, 180  # sizes of sets: combinations up to, tokens alone from; 180 <= 0.75 * 240
-TOKENS_PER_PART = 3_000_000
 _LOW = U64((1 << 40) - 1)
 _PARTS = schema(part="int", batch="long", counts="binary", tokens="binary", info="binary")
 _SHARED = schema(part="int", batch="long", docs="binary", tokens="binary", df="binary", info="binary")
@@ -338,7 +337,7 @@ class JaccardJoin:
         self.scratch = Scratch(self.spark, "jaccard")
         docs = docs_of(docs, "doc_id", "text")
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        parts = max(8, -(-total // (6 * TOKENS_PER_PART)))
+        parts = parts_for(total // 6)
         dealt = docs.mapInArrow(_deal(parts, k), _PARTS)
         shared = dealt.repartition(parts, "part").groupBy("part").applyInArrow(_frequencies, _SHARED)
         #: every row of the table: doc_id, set size n, fingerprint fp; seq: its shared tokens, if it may have a link
@@ -348,7 +347,7 @@ class JaccardJoin:
         self.classes = self.scratch.keep(first.select("fp", "r.*"))
         self.nodes = self.classes.where("seq is not null").drop("fp")
         size = self.nodes.agg(F.sum(F.octet_length("seq"))).first()[0] or 0
-        self.parts = max(12, -(-size // (8 * 1_000_000)))
+        self.parts = parts_for(3 * size // 8, 12)
 
     def _pairs(self, comps: DataFrame | None, stars: bool) -> DataFrame:
         nodes = self.nodes.withColumn("comp", F.col("doc_id")) if comps is None else self.nodes.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")

@@ -25,14 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, components, schema, slices
+from .common import Scratch, components, parts_for, schema, slices
 from .words import _BYTE, _MUL, U64, _power, flat, mix64, span_hashes
 
 EDITS = 2
 LEAST = 24
 HOT = 64
 BLOCK = 4096
-ENTRIES_PER_PART = 3_000_000
 TYPICAL = 200  # bytes of a line, to set the number of parts; shorter lines make larger parts, by a factor of TYPICAL / LEAST at most
 _INDEX = schema(part="int", lines="binary", sigs="binary", keys="binary", at="binary", role="binary")
 _FOUND = schema(key="long", u="long", v="long", sig="long")
@@ -325,7 +324,7 @@ class LineDedup:
     def links(self) -> DataFrame:
         """Near pairs (u, v) of line hashes: enough to connect every class."""
         total = self.texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        parts = max(8, -(-total * 5 * (self.edits + 1) // (TYPICAL * ENTRIES_PER_PART)))
+        parts = parts_for(total * 5 * (self.edits + 1) // TYPICAL)
         dealt = self.texts.mapInArrow(_index(parts, self.edits, self.least), _INDEX)
         found = self.scratch.keep(dealt.repartition(parts, "part").groupBy("part").applyInArrow(_meet(self.edits, HOT), _FOUND))
         pairs = found.where("v is not null").select("u", "v")
