@@ -2,6 +2,7 @@
 
 The suffixes are sorted blockwise, as in difference-cover suffix sorting, to the depth that is asked (LENGTH):
 
+0. Whole texts that repeat are found by their hashes: they go, and one of each stands in for all in what follows.
 1. Cover samples.  Of every text the positions in a difference cover modulo V are taken (10 of 91): for any two
    positions some shift below V takes both into the cover.  Two equal strings of LENGTH bytes so hold two equal samples of LENGTH - V + 1
    bytes.  Samples are dealt into buckets by hash and each bucket is sorted by itself; a sample's class is repeated or not.
@@ -9,7 +10,7 @@ The suffixes are sorted blockwise, as in difference-cover suffix sorting, to the
    none); they are dealt into buckets by their LENGTH-byte key and each bucket is sorted by itself.  Equal neighbours are repeats.
 
 Buckets hold some million keys each, whatever the input, and a text's equal keys are merged before they are dealt, so no string is
-too frequent.  Keys are 64-bit hashes of the bytes (56 bits and the bucket's number are sent): what a comparison of ranks would decide for
+too frequent.  Keys are 64-bit hashes of the bytes (their low 56 bits and the bucket, a stretch of the range, are sent): what a comparison of ranks would decide for
 ties is decided by the key, and two different strings would be taken as equal with a chance of some 2^-60 a pair.
 
 Buckets answer with a bit for each key.  Texts are read again for the answers and must be read the same way each time, in
@@ -19,6 +20,7 @@ texts even if they share a doc_id; texts under LENGTH bytes lose nothing; extra
 
 from __future__ import annotations
 
+import gc
 import hashlib
 
 import numpy as np
@@ -27,17 +29,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, docs_of, schema, slices
-from .words import _BYTE, U64, _power, flat, mix64
+from .common import Scratch, docs_of, parts_for, schema, slices
+from .words import _BYTE, U64, _power, flat, mix64, span_hashes
 
 LENGTH = 200
 # A perfect difference set modulo 91.
 V, COVER = 91, (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
-KEYS_PER_PART = 3_000_000
 SLICE = 4 << 20
 _CHUNK = 1 << 20
 _DEALT = schema(batch="long", stage="int", part="int", keys="binary", many="binary")
-_ANSWER = schema(batch="long", stage="int", part="int", bits="binary")
+_ANSWER = schema(batch="long", stage="int", part="int", bits="binary", first="binary")
+WIDTH = {0: 8, 1: 5, 2: 7}  # bytes sent of the keys of texts, samples and suffixes
 _PACKED = schema(batch="long", ids="binary", offsets="binary", data="binary")
 
 
@@ -85,23 +87,27 @@ def in_reach(offs: np.ndarray, at: np.ndarray, repeated: np.ndarray, length: int
 
 
 def _parted(keys: np.ndarray, parts: int):
-    """Each key's place among the distinct ones of all parts (part by part, ascending), these keys, whether many have one, and the parts' edges."""
-    part = ((keys >> U64(32)) % U64(parts)).astype(np.int64)
-    order = np.lexsort((keys, part))
-    k, p = keys[order], part[order]
+    """The order of the keys, each key's place among the distinct ones, these (ascending), and the edges of parts among them: equal stretches of the 64-bit range."""
+    order = np.argsort(keys)
+    k = keys[order]
     new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
-    rank = np.cumsum(new) - 1
+    new[1:] = k[1:] != k[:-1]
     place = np.empty(len(k), np.int64)
-    place[order] = rank
-    counts = np.bincount(rank) if len(rank) else np.zeros(0, np.int64)
-    return place, k[new], counts > 1, np.searchsorted(p[new], np.arange(parts + 1))
-
-
-def _deal(batch: int, stage: int, keys: np.ndarray, parts: int, width: int) -> pa.RecordBatch:
-    _, distinct, many, edges = _parted(keys, parts)
+    place[order] = np.cumsum(new) - 1
+    bounds = np.array([-(-(p << 64) // parts) for p in range(1, parts)], U64)
+    distinct = k[new]
+    edges = np.concatenate([[0], np.searchsorted(distinct, bounds), [len(distinct)]])
+    return order, place, distinct, edges, np.flatnonzero(new)
+
+
+def _deal(batch: int, stage: int, keys: np.ndarray, parts: int, more: np.ndarray | None = None) -> pa.RecordBatch:
+    """more: keys known to be repeated elsewhere."""
+    order, _, distinct, edges, first = _parted(keys, parts)
+    many = np.diff(np.append(first, len(keys))) > 1
+    if more is not None and len(keys):
+        many |= np.logical_or.reduceat(more[order], first)
     own = [p for p in range(parts) if edges[p + 1] > edges[p]]
-    raw = distinct.view(np.uint8).reshape(-1, 8)[:, :width]
+    raw = distinct.view(np.uint8).reshape(-1, 8)[:, : WIDTH[stage]]
     n = len(own)
     return pa.RecordBatch.from_arrays([
         pa.array([batch] * n, pa.int64()), pa.array([stage] * n, pa.int32()), pa.array(own, pa.int32()),
@@ -117,13 +123,20 @@ def _numbered(batches):
             i += 1
 
 
+def _texts(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose texts have the full length at least, and 64-bit hashes of these texts."""
+    rows = np.flatnonzero(np.diff(offs) >= length)
+    return rows, span_hashes(data, offs[:-1][rows], offs[1:][rows], lower=False)
+
+
 def _sampled(parts: int, length: int):
     def run(batches):
         for batch, b in _numbered(batches):
             data, offs = flat(b.column("text"))
             keys = window_hashes(data, samples(offs, length), length - V + 1)
             if len(keys):
-                yield _deal(batch, 1, keys, parts, 5)
+                yield _deal(batch, 0, _texts(data, offs, length)[1], parts)
+                yield _deal(batch, 1, keys, parts)
 
     return run
 
@@ -133,56 +146,83 @@ def _pack(batches):
         data, offs = flat(b.column("text"))
         ids = b.column("doc_id")
         own = np.stack([ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([own.tobytes()], pa.binary()), pa.array([offs.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], names=_PACKED.names)
+        yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([own.tobytes()], pa.binary()), pa.array([offs.tobytes()], pa.binary()), pa.array([pa.Codec("zstd").compress(data.tobytes()).to_pybytes() if len(data) else b""], pa.binary())], names=_PACKED.names)
 
 
 def _sorted_bucket(t: pa.Table) -> pa.Table:
-    """One bucket: which of its keys occur more than once."""
-    width = 5 if t["stage"][0].as_py() == 1 else 7
-    keys, many = [], []
-    for k, m in zip(t["keys"], t["many"]):
-        raw = np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, width)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :width] = raw
-        keys.append(wide.view("<u8").ravel())
-        many.append(np.unpackbits(np.frombuffer(m.as_buffer(), np.uint8), count=len(raw)).astype(bool))
-    edges = np.cumsum([0] + [len(k) for k in keys])
-    keys = np.concatenate(keys)
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    same = k[1:] == k[:-1]
-    twice = np.zeros(len(k), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    again = np.concatenate(many)
-    again[order[twice]] = True
-    return pa.table([t["batch"], t["stage"], t["part"], pa.array([np.packbits(again[a:b]).tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], names=_ANSWER.names)
-
-
-def _answered(keys: np.ndarray, parts: int, answers: pa.Table, stage: int) -> np.ndarray:
-    """For each key, in its own order, whether it is repeated."""
-    place, distinct, _, edges = _parted(keys, parts)
-    again = np.zeros(len(distinct), bool)
-    for s, p, bits in zip(answers["stage"].to_pylist(), answers["part"].to_pylist(), answers["bits"]):
+    """One bucket: which of its keys occur more than once (bits), and which rows hold a key for the first time (first)."""
+    out = {"bits": [None] * len(t), "first": [None] * len(t)}
+    stages = np.array(t["stage"])
+    for stage in np.unique(stages):
+        rows, keys, many = np.flatnonzero(stages == stage), [], []
+        for i in rows:
+            raw = np.frombuffer(t["keys"][i].as_buffer(), np.uint8).reshape(-1, WIDTH[stage])
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, : WIDTH[stage]] = raw
+            keys.append(wide.view("<u8").ravel())
+            many.append(np.unpackbits(np.frombuffer(t["many"][i].as_buffer(), np.uint8), count=len(raw)).astype(bool))
+        edges = np.cumsum([0] + [len(k) for k in keys])
+        keys, again = np.concatenate(keys), np.concatenate(many)
+        order = np.argsort(keys)
+        k = keys[order]
+        same = k[1:] == k[:-1]
+        twice = np.zeros(len(k), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        again[order[twice]] = True
+        # A repeated text is dealt on by one batch alone, any of those that hold it.
+        leads = np.zeros(len(k), bool)
+        leads[order[np.concatenate([[True], ~same])]] = True
+        for i, a, b in zip(rows, edges, edges[1:]):
+            out["bits"][i] = np.packbits(again[a:b]).tobytes()
+            out["first"][i] = np.packbits(leads[a:b]).tobytes() if stage == 0 else None
+    return pa.table([t["batch"], t["stage"], t["part"], pa.array(out["bits"], pa.binary()), pa.array(out["first"], pa.binary())], names=_ANSWER.names)
+
+
+def _answered(keys: np.ndarray, parts: int, answers: pa.Table, stage: int, column: str = "bits") -> np.ndarray:
+    """For each key, in its own order, the bit of its answer."""
+    _, place, distinct, edges, _ = _parted(keys, parts)
+    out = np.zeros(len(distinct), bool)
+    for s, p, bits in zip(answers["stage"].to_pylist(), answers["part"].to_pylist(), answers[column]):
         if s == stage:
-            again[edges[p] : edges[p + 1]] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=edges[p + 1] - edges[p]).astype(bool)
-    return again[place]
+            out[edges[p] : edges[p + 1]] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=edges[p + 1] - edges[p]).astype(bool)
+    return out[place]
+
+
+def _opened(packed: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    offs = np.frombuffer(packed["offsets"][0].as_buffer(), np.int64)
+    raw = pa.Codec("zstd").decompress(packed["data"][0].as_buffer(), int(offs[-1])) if offs[-1] else b""
+    return np.frombuffer(raw, np.uint8), offs
 
 
 def _candidates(packed: pa.Table, answers: pa.Table, parts: int, length: int):
-    data, offs = np.frombuffer(packed["data"][0].as_buffer(), np.uint8), np.frombuffer(packed["offsets"][0].as_buffer(), np.int64)
+    """Bytes and offsets; which rows repeat as a whole; the suffixes to sort, and their keys.
+
+    A text that repeats as a whole is known to go; of its copies one alone deals its suffixes, for others that hold parts of it.
+    """
+    data, offs = _opened(packed)
+    rows, texts = _texts(data, offs, length)
+    whole, leaves = np.zeros(len(offs) - 1, bool), np.zeros(len(offs) - 1, bool)
+    if len(rows):
+        whole[rows] = _answered(texts, parts, answers, 0)
+        here = np.zeros(len(rows), bool)
+        here[np.unique(texts, return_index=True)[1]] = True
+        leaves[rows] = whole[rows] & ~(here & _answered(texts, parts, answers, 0, "first"))
     at = samples(offs, length)
-    repeated = _answered(window_hashes(data, at, length - V + 1), parts, answers, 1) if len(at) else np.zeros(0, bool)
+    if not len(at):
+        return data, offs, whole, at, np.zeros(0, U64)
+    repeated = _answered(window_hashes(data, at, length - V + 1), parts, answers, 1)
+    repeated &= ~leaves[np.searchsorted(offs, at, "right") - 1]
     start = in_reach(offs, at, repeated, length)
-    return data, offs, start, window_hashes(data, start, length)
+    return data, offs, whole, start, window_hashes(data, start, length)
 
 
 def _suffixes(parts: int, length: int):
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(packed) or not len(answers):
-            return pa.Table.from_batches([_deal(0, 2, np.zeros(0, U64), parts, 7)])
-        _, _, _, keys = _candidates(packed, answers, parts, length)
-        return pa.Table.from_batches([_deal(packed["batch"][0].as_py(), 2, keys, parts, 7)])
+            return pa.Table.from_batches([_deal(0, 2, np.zeros(0, U64), parts)])
+        _, offs, whole, start, keys = _candidates(packed, answers, parts, length)
+        return pa.Table.from_batches([_deal(packed["batch"][0].as_py(), 2, keys, parts, whole[np.searchsorted(offs, start, "right") - 1])])
 
     return run
 
@@ -192,11 +232,12 @@ _OUT = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256"
 
 def _removed(parts: int, length: int, want: list[str]):
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
-        data, offs, start, keys = _candidates(packed, answers, parts, length)
+        data, offs, whole, start, keys = _candidates(packed, answers, parts, length)
         start = start[_answered(keys, parts, answers, 2)] if len(start) else start
         n = len(data)
         steps = np.bincount(start, minlength=n + 1) - np.bincount(start + length, minlength=n + 1)
         gone = np.cumsum(steps[:n]) > 0
+        gone |= np.repeat(whole, np.diff(offs))
         total = np.concatenate([[0], np.cumsum(gone)])
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
@@ -225,16 +266,17 @@ def dedup_substrings(docs: DataFrame, columns: tuple[str, ...] = ("n_bytes", "n_
     if not stable:
         docs = scratch.keep(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, -(-total * len(COVER) // (V * KEYS_PER_PART)))
+    parts = parts_for(total * len(COVER) // V)
 
-    def bucketed(dealt: DataFrame) -> DataFrame:
-        out = scratch.keep(dealt.repartition(parts, "part").groupBy("part").applyInArrow(_sorted_bucket, _ANSWER))
+    def bucketed(dealt) -> DataFrame:
+        out = scratch.keep(dealt().repartition(parts, "part").groupBy("part").applyInArrow(_sorted_bucket, _ANSWER))
+        gc.collect()
         spark._jvm.System.gc()  # lets Spark drop the shuffle files of what is now written
         return out
 
-    first = bucketed(docs.mapInArrow(_sampled(parts, length), _DEALT))
+    first = bucketed(lambda: docs.mapInArrow(_sampled(parts, length), _DEALT))
     packed = docs.mapInArrow(_pack, _PACKED)
-    second = bucketed(packed.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_suffixes(parts, length), _DEALT))
+    second = bucketed(lambda: packed.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_suffixes(parts, length), _DEALT))
     answers = first.union(second)
     out = schema(doc_id="long", **{c: _OUT[c] for c in columns})
     return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_removed(parts, length, list(columns)), out)
