@@ -13,8 +13,9 @@ Two documents link when the Jaccard similarity of their sets of 5-word shingles
    enough meet under the same rule.
 4. Members of a bucket are compared by length, position and parity bitmaps (a bound on the overlap that holds
    always), and what is left is verified exactly.
-5. For components, a first round pairs each bucket's members with one pivot alone (the member whose tokens are the
-   most shared) and merges what it verifies; the second one takes all pairs of a bucket between different components.
+5. For components, a first round pairs a bucket's members with pivots alone (the member whose tokens are the most shared,
+   then the best one near to no pivot yet) and merges what it verifies; the second one takes all pairs of a bucket between
+   different components, so that nothing depends on the pivots.
 
 Defined cases: a null text is empty; an empty set links with nothing; a null doc_id has a null component
 and links with nothing; rows that share a doc_id are one node, linked through any of its texts, and each row is
@@ -33,6 +34,7 @@ from .common import Scratch, components, docs_of, parts_for, schema, slices
 from .words import U64, distinct_shingles, flat, mix64
 
 RARE = 64  # most documents of a token that is indexed alone
+STARS = 32  # pivots of a bucket in the first round, one after the other
 COMBINE_TO, ALONE_FROM = 240, 180  # sizes of sets: combinations up to, tokens alone from; 180 <= 0.75 * 240
 _LOW = U64((1 << 40) - 1)
 _PARTS = schema(part="int", batch="long", counts="binary", tokens="binary", info="binary")
@@ -257,16 +259,26 @@ class _Bucket:
         return np.unique(np.minimum(a, b) * len(self.docs) + np.maximum(a, b))
 
     def stars(self):
-        """Pairs of each bucket's pivot with its other members."""
-        many = np.flatnonzero(self.size > 1)
+        """Near pairs of a pivot and others of its bucket: the best member first, then the best of those near to no pivot yet, and so on."""
         of = np.repeat(np.arange(len(self.size)), self.size)
-        best = np.lexsort((self.docs["id"][self.at], -self.docs["score"][self.at], of))[self.start]
-        j = np.flatnonzero(np.isin(of, many))
-        i = best[of[j]]
-        for c in range(0, len(j), 1 << 20):
-            x, y = i[c : c + (1 << 20)], j[c : c + (1 << 20)]
-            ok = self.fit(x, y)
-            yield self.distinct(x[ok], y[ok])
+        left = np.lexsort((self.docs["id"][self.at], -self.docs["score"][self.at], of))
+        for _ in range(STARS):
+            bucket = of[left]
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(left) else left
+            size = np.diff(np.append(first, len(left)))
+            pivot = np.repeat(left[first], size)
+            other = np.ones(len(left), bool)
+            other[first] = False
+            near = np.zeros(len(left), bool)
+            for c in range(0, len(left), 1 << 18):
+                x, y, some = pivot[c : c + (1 << 18)], left[c : c + (1 << 18)], np.flatnonzero(other[c : c + (1 << 18)])
+                some = some[self.fit(x[some], y[some])]
+                near[c + some] = self.near(self.at[x[some]], self.at[y[some]])
+            yield self.distinct(pivot[near], left[near])
+            again = other & ~near
+            left = left[again & (np.repeat(np.add.reduceat(again, first), size) > 1)] if len(left) else left
+            if not len(left):
+                return
 
     def all(self):
         """All pairs within buckets, some two million at a time whatever a bucket's size."""
@@ -303,7 +315,8 @@ def _candidates(num: int, stars: bool):
         b = _Bucket(t, num)
         n, left, held = len(b.docs), [], 0
         for pairs in b.stars() if stars else b.all():
-            pairs = pairs[b.near(pairs // n, pairs % n)]
+            if not stars:
+                pairs = pairs[b.near(pairs // n, pairs % n)]
             left.append(pairs)
             held += len(pairs)
             if held > 1 << 21:
