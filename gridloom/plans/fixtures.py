@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.errors import StorageError
 from gridloom.session import read_zarr
 from gridloom.sources.writer import write_array, write_grid, write_table
 
@@ -23,8 +24,10 @@ _made: dict[str, str] = {}
 
 def folder(spark: SparkSession) -> str:
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not given or "://" in given and not given.startswith("file://"):
+    if not given:
         given = _own.setdefault("dir", tempfile.mkdtemp(prefix="gridloom-stores-"))
+    if "://" in given and not given.startswith("file://"):
+        raise StorageError(f"stores are written to a shared folder of files; {given} is none")
     return given.removeprefix("file://").removeprefix("file:").rstrip("/")
 
 
