@@ -130,7 +130,7 @@ def mix(docs: DataFrame, source: str = "source", shards: int = SHARDS) -> DataFr
 
 
 def mixture(docs: DataFrame, source: str = "source", shards: int = SHARDS) -> DataFrame:
-    """The mixed documents themselves, with the columns of docs: a row for each copy, shard by shard, each shuffled."""
-    rows = mix(docs, source, shards).withColumn("__copy", F.explode("copies"))
-    rows = rows.repartition(F.col("__copy.shard")).sortWithinPartitions("__copy.shard", "__copy.place")
-    return rows.select(*docs.columns)
+    """The mixed documents themselves, all columns of docs as they are: a row for each copy, shard by shard, each shuffled."""
+    whole = docs.select(F.struct("*").alias("__row"), "doc_id", F.col("text").cast("string").alias("text"), F.col(source).alias("__name"))
+    rows = mix(whole, "__name", shards).select("__row", F.explode("copies").alias("__copy"))
+    return rows.repartition(F.col("__copy.shard")).sortWithinPartitions("__copy.shard", "__copy.place").select("__row.*")
