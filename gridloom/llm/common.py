@@ -67,6 +67,11 @@ def parts_for(keys: int, least: int = 8) -> int:
     return max(least, n if n <= MANY_PARTS else max(MANY_PARTS, -(-keys // MOST_KEYS)))
 
 
+def slice_bytes(parts: int, least: int) -> int:
+    """Text to take at a time, so that its keys make no tiny blobs where parts are many: a KiB for each part, 64 MiB at most."""
+    return min(64 << 20, max(least, parts << 10))
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     """The batch in runs of rows with at most so many bytes of text (one row at least)."""
     import numpy as np

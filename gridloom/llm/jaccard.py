@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, docs_of, parts_for, schema, slices
+from .common import Scratch, components, docs_of, parts_for, schema, slice_bytes, slices
 from .words import U64, distinct_shingles, flat, mix64
 
 RARE = 64  # most documents of a token that is indexed alone
@@ -54,7 +54,7 @@ def _deal(parts: int, k: int):
     def run(batches):
         task, i = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", slice_bytes(parts, 8 << 20)):
                 data, offs = flat(b.column("text"))
                 h, o = distinct_shingles(data, offs, k)
                 m, n = len(b), np.diff(o)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, components, parts_for, schema, slices
+from .common import Scratch, components, parts_for, schema, slice_bytes, slices
 from .words import _BYTE, _MUL, U64, _power, flat, mix64, span_hashes
 
 EDITS = 2
@@ -119,7 +119,7 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _index(parts: int, edits: int, least: int):
     def run(batches):
         for whole in batches:
-            for b in slices(whole, "text", 1 << 20):
+            for b in slices(whole, "text", slice_bytes(parts, 1 << 20)):
                 data, offs = flat(b.column("text"))
                 start, end, _, _, h = _long_lines(data, offs, least)
                 _, one = np.unique(h, return_index=True)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, docs_of, parts_for, schema, slices
+from .common import Scratch, docs_of, parts_for, schema, slice_bytes, slices
 from .words import _BYTE, U64, _power, flat, mix64, span_hashes
 
 LENGTH = 200
@@ -115,10 +115,10 @@ def _deal(batch: int, stage: int, keys: np.ndarray, parts: int, more: np.ndarray
     ], names=_DEALT.names)
 
 
-def _numbered(batches):
+def _numbered(batches, parts: int):
     task, i = TaskContext.get().partitionId(), 0
     for whole in batches:
-        for b in slices(whole, "text", SLICE):
+        for b in slices(whole, "text", slice_bytes(parts, SLICE)):
             yield (task << 32) | i, b
             i += 1
 
@@ -131,7 +131,7 @@ def _texts(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
 
 def _sampled(parts: int, length: int):
     def run(batches):
-        for batch, b in _numbered(batches):
+        for batch, b in _numbered(batches, parts):
             data, offs = flat(b.column("text"))
             keys = window_hashes(data, samples(offs, length), length - V + 1)
             if len(keys):
@@ -141,12 +141,15 @@ def _sampled(parts: int, length: int):
     return run
 
 
-def _pack(batches):
-    for batch, b in _numbered(batches):
-        data, offs = flat(b.column("text"))
-        ids = b.column("doc_id")
-        own = np.stack([ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([own.tobytes()], pa.binary()), pa.array([offs.tobytes()], pa.binary()), pa.array([pa.Codec("zstd").compress(data.tobytes()).to_pybytes() if len(data) else b""], pa.binary())], names=_PACKED.names)
+def _pack(parts: int):
+    def run(batches):
+        for batch, b in _numbered(batches, parts):
+            data, offs = flat(b.column("text"))
+            ids = b.column("doc_id")
+            own = np.stack([ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([own.tobytes()], pa.binary()), pa.array([offs.tobytes()], pa.binary()), pa.array([pa.Codec("zstd").compress(data.tobytes()).to_pybytes() if len(data) else b""], pa.binary())], names=_PACKED.names)
+
+    return run
 
 
 def _sorted_bucket(t: pa.Table) -> pa.Table:
@@ -275,7 +278,7 @@ def dedup_substrings(docs: DataFrame, columns: tuple[str, ...] = ("n_bytes", "n_
         return out
 
     first = bucketed(lambda: docs.mapInArrow(_sampled(parts, length), _DEALT))
-    packed = docs.mapInArrow(_pack, _PACKED)
+    packed = docs.mapInArrow(_pack(parts), _PACKED)
     second = bucketed(lambda: packed.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_suffixes(parts, length), _DEALT))
     answers = first.union(second)
     out = schema(doc_id="long", **{c: _OUT[c] for c in columns})
