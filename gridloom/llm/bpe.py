@@ -175,12 +175,16 @@ class Bpe:
         return " ".join([self.names[i] for i in ids])
 
 
-_loaded: dict[int, Bpe] = {}
+_loaded: dict[str, Bpe] = {}
 
 
 def _encoder(file, want: list[str]):
     def run(batches):
-        bpe = _loaded.get(0) or _loaded.setdefault(0, Bpe(file.value))
+        text = file.value
+        if text not in _loaded:
+            _loaded.clear()
+            _loaded[text] = Bpe(text)
+        bpe = _loaded[text]
         for b in batches:
             out = {c: [] for c in want}
             for text in b.column("text"):
