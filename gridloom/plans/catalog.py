@@ -194,7 +194,7 @@ _sql("select_distinct", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumbe
 _sql("distinct_on", "SELECT suppkey, linenumber, qty FROM (SELECT suppkey, linenumber, round(qty, 2) AS qty, row_number() OVER (PARTITION BY suppkey ORDER BY qty DESC, linenumber) AS rn FROM grid) t WHERE rn = 1", "SELECT DISTINCT ON (suppkey) suppkey, linenumber, round(qty, 2) AS qty FROM grid ORDER BY suppkey, qty DESC, linenumber")
 _sql("agg_stats", "SELECT l_returnflag, round(stddev_pop(l_quantity), 6) AS sp, round(stddev_samp(l_quantity), 6) AS ss, round(var_pop(l_quantity), 6) AS vp, round(var_samp(l_quantity), 6) AS vs, round(covar_pop(l_quantity, l_discount), 6) AS cp, round(covar_samp(l_quantity, l_discount), 6) AS cs, round(corr(l_quantity, l_extendedprice), 6) AS r FROM li GROUP BY l_returnflag")
 _sql("agg_regr", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS at0, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(regr_avgx(l_extendedprice, l_quantity), 4) AS ax, round(regr_avgy(l_extendedprice, l_quantity), 4) AS ay FROM li")
-_sql("agg_array_string", "SELECT n_regionkey, array_sort(collect_list(n_name)) AS names, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS text, min_by(n_name, n_nationkey) AS first_one, max_by(n_name, n_nationkey) AS last_one FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, list_sort(array_agg(n_name)) AS names, string_agg(n_name, ',' ORDER BY n_name) AS text, first(n_name ORDER BY n_nationkey) AS first_one, last(n_name ORDER BY n_nationkey) AS last_one FROM nation GROUP BY n_regionkey")
+_sql("agg_array_string", "SELECT n_regionkey, array_join(array_sort(collect_list(n_name)), '|') AS names, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS text, min_by(n_name, n_nationkey) AS first_one, max_by(n_name, n_nationkey) AS last_one FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(array_agg(n_name)), '|') AS names, string_agg(n_name, ',' ORDER BY n_name) AS text, first(n_name ORDER BY n_nationkey) AS first_one, last(n_name ORDER BY n_nationkey) AS last_one FROM nation GROUP BY n_regionkey")
 _sql("agg_filter_having", "SELECT l_suppkey, count(*) FILTER (WHERE l_quantity > 25) AS large, count(*) AS n FROM li GROUP BY l_suppkey HAVING count(*) > 3")
 _sql("agg_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_returnflag) AS INT) AS g FROM li GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 _sql("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM li GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -265,11 +265,11 @@ def _(spark, sf_dir):
 
 _sql(
     "fn_array",
-    "SELECT n_nationkey, array_append(a, 9) AS f1, concat(a, array(7)) AS f2, array_contains(a, 2) AS f3, array_sort(array_distinct(a)) AS f4, array_sort(array_except(a, array(1))) AS f5, array_sort(array_intersect(a, array(1, 2))) AS f6, size(a) AS f7, CAST(array_position(a, 2) AS INT) AS f8, array_remove(a, 2) AS f9, slice(a, 2, 2) AS f10, array_join(transform(a, x -> CAST(x AS STRING)), '-') AS f11, flatten(array(a, a)) AS f12, sequence(1, 3) AS f13, aggregate(a, 0, (s, x) -> s + x) AS f14 FROM (SELECT n_nationkey, array(1, 2, 2, n_regionkey) AS a FROM nation) t",
-    "SELECT n_nationkey, list_append(a, 9) AS f1, list_concat(a, [7]) AS f2, list_contains(a, 2) AS f3, list_sort(list_distinct(a)) AS f4, list_sort(list_distinct(list_filter(a, lambda x: x <> 1))) AS f5, list_sort(list_intersect(a, [1, 2])) AS f6, CAST(len(a) AS INT) AS f7, CAST(list_position(a, 2) AS INT) AS f8, list_filter(a, lambda x: x <> 2) AS f9, list_slice(a, 2, 3) AS f10, array_to_string(a, '-') AS f11, flatten([a, a]) AS f12, [1, 2, 3] AS f13, CAST(list_sum(a) AS INT) AS f14 FROM (SELECT n_nationkey, [1, 2, 2, n_regionkey] AS a FROM nation) t",
+    "SELECT n_nationkey, array_join(array_append(a, 9), ',') AS f1, array_join(concat(a, array(7)), ',') AS f2, array_contains(a, 2) AS f3, array_join(array_sort(array_distinct(a)), ',') AS f4, array_join(array_sort(array_except(a, array(1))), ',') AS f5, array_join(array_sort(array_intersect(a, array(1, 2))), ',') AS f6, size(a) AS f7, CAST(array_position(a, 2) AS INT) AS f8, array_join(array_remove(a, 2), ',') AS f9, array_join(slice(a, 2, 2), ',') AS f10, array_join(a, '-') AS f11, array_join(flatten(array(a, a)), ',') AS f12, array_join(sequence(1, 3), ',') AS f13, aggregate(a, 0, (s, x) -> s + x) AS f14, array_join(transform(a, x -> x * 2), ',') AS f15, array_max(a) AS f16 FROM (SELECT n_nationkey, array(1, 2, 2, n_regionkey) AS a FROM nation) t",
+    "SELECT n_nationkey, array_to_string(list_append(a, 9), ',') AS f1, array_to_string(list_concat(a, [7]), ',') AS f2, list_contains(a, 2) AS f3, array_to_string(list_sort(list_distinct(a)), ',') AS f4, array_to_string(list_sort(list_distinct(list_filter(a, lambda x: x <> 1))), ',') AS f5, array_to_string(list_sort(list_intersect(a, [1, 2])), ',') AS f6, CAST(len(a) AS INT) AS f7, CAST(list_position(a, 2) AS INT) AS f8, array_to_string(list_filter(a, lambda x: x <> 2), ',') AS f9, array_to_string(list_slice(a, 2, 3), ',') AS f10, array_to_string(a, '-') AS f11, array_to_string(flatten([a, a]), ',') AS f12, array_to_string([1, 2, 3], ',') AS f13, CAST(list_sum(a) AS INT) AS f14, array_to_string(list_transform(a, lambda x: x * 2), ',') AS f15, list_max(a) AS f16 FROM (SELECT n_nationkey, [1, 2, 2, n_regionkey] AS a FROM nation) t",
 )
 _sql("fn_unnest", "SELECT n_nationkey, x FROM nation LATERAL VIEW explode(sequence(0, n_regionkey)) AS x", "SELECT n_nationkey, CAST(unnest(range(0, n_regionkey + 1)) AS INT) AS x FROM nation")
-_sql("fn_map_struct", "SELECT n_nationkey, map_keys(m) AS k, map_values(m) AS v, element_at(m, 'name') AS e, s.a AS a, s.b AS b FROM (SELECT n_nationkey, map('name', n_name, 'key', CAST(n_nationkey AS STRING)) AS m, named_struct('a', n_name, 'b', n_regionkey) AS s FROM nation) t", "SELECT n_nationkey, map_keys(m) AS k, map_values(m) AS v, m['name'] AS e, s.a AS a, s.b AS b FROM (SELECT n_nationkey, MAP {'name': n_name, 'key': CAST(n_nationkey AS VARCHAR)} AS m, {'a': n_name, 'b': n_regionkey} AS s FROM nation) t")
+_sql("fn_map_struct", "SELECT n_nationkey, array_join(map_keys(m), '|') AS k, array_join(map_values(m), '|') AS v, element_at(m, 'name') AS e, s.a AS a, s.b AS b FROM (SELECT n_nationkey, map('name', n_name, 'key', CAST(n_nationkey AS STRING)) AS m, named_struct('a', n_name, 'b', n_regionkey) AS s FROM nation) t", "SELECT n_nationkey, array_to_string(map_keys(m), '|') AS k, array_to_string(map_values(m), '|') AS v, m['name'] AS e, s.a AS a, s.b AS b FROM (SELECT n_nationkey, MAP {'name': n_name, 'key': CAST(n_nationkey AS VARCHAR)} AS m, {'a': n_name, 'b': n_regionkey} AS s FROM nation) t")
 _sql("fn_hash", "SELECT n_name, md5(n_name) AS m, sha2(n_name, 256) AS s, base64(n_name) AS b, lower(hex(n_name)) AS h FROM nation", "SELECT n_name, md5(n_name) AS m, sha256(n_name) AS s, to_base64(encode(n_name)) AS b, lower(to_hex(encode(n_name))) AS h FROM nation")
 _sql("fn_conditional", "SELECT n_nationkey, coalesce(nullif(n_regionkey, 0), 99) AS c, ifnull(nullif(n_name, 'CHINA'), '?') AS i, nvl2(nullif(n_regionkey, 1), 'x', 'y') AS n2, greatest(n_nationkey, n_regionkey, 5) AS g, least(n_nationkey, n_regionkey) AS l, if(n_regionkey > 2, 'hi', 'lo') AS f FROM nation", "SELECT n_nationkey, coalesce(nullif(n_regionkey, 0), 99) AS c, ifnull(nullif(n_name, 'CHINA'), '?') AS i, CASE WHEN nullif(n_regionkey, 1) IS NOT NULL THEN 'x' ELSE 'y' END AS n2, greatest(n_nationkey, n_regionkey, 5) AS g, least(n_nationkey, n_regionkey) AS l, CASE WHEN n_regionkey > 2 THEN 'hi' ELSE 'lo' END AS f FROM nation")
 _sql("fn_json", "SELECT event_id, get_json_object(props, '$.page') AS page FROM events", "SELECT event_id, props->>'$.page' AS page FROM events")
