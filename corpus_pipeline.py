@@ -24,6 +24,7 @@ from gridloom.llm.toxicity import scored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "word_bpe_49k.json"
+PIECES = 150_000  # remembered by a Python worker, which lives on beside other stages' memory
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def mix_sources_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode(docs, public_tokenizers.path(TOKENIZER), ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return encode(docs, public_tokenizers.path(TOKENIZER), ("n_tokens", "ids_sha256", "decoded_sha256"), pieces=PIECES)
 
 
 STAGES = [

@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 from .common import docs_of, schema
 
-MOST_PIECES, MOST_PAIRS = 900_000, 600_000  # entries of a worker's caches; a full one starts anew
+MOST_PIECES, MOST_PAIRS = 900_000, 600_000  # entries of a worker's caches (some 350 and 150 bytes each); a full one starts anew
 #: Texts of other characters than these are normalised and split by the library's own code, since Unicode versions differ on newer characters.
 _SETTLED = regex.compile(r"[\u0000-\u052f\u1e00-\u1fff\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]*+")
 #: Columns that encode() can make from the ids of each text.
@@ -50,7 +50,7 @@ class _Pieces(dict):
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> tuple[str, str]:
-        if len(self) >= MOST_PIECES:
+        if len(self) >= self.bpe.most_pieces:
             self.clear()
         ids = self.bpe.encode_piece(piece)
         out = " ".join(map(str, ids)), self.bpe.decode(ids)
@@ -62,7 +62,8 @@ class _Pieces(dict):
 class Bpe:
     """A tokenizer file of byte-level BPE with word-end suffix, lower-casing normaliser and a splitting pattern."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, most_pieces: int = MOST_PIECES):
+        self.most_pieces = most_pieces
         spec = json.loads(file)
         model = spec["model"]
         suffix = model["end_of_word_suffix"] or ""
@@ -123,7 +124,7 @@ class Bpe:
 
     def fit(self, u: int, t: int) -> bool:
         if (ok := self.pairs.get((u, t))) is None:
-            if len(self.pairs) >= MOST_PAIRS:
+            if len(self.pairs) >= self.most_pieces * MOST_PAIRS // MOST_PIECES:
                 self.pairs.clear()
             a, b = self.text[u], self.text[t]
             ok = self.pairs[u, t] = self.merged([self.one[c] for c in a + b], len(a)) is not None
@@ -178,13 +179,14 @@ class Bpe:
 _loaded: dict[str, Bpe] = {}
 
 
-def _encoder(file, want: list[str]):
+def _encoder(file, want: list[str], pieces: int):
     def run(batches):
         text = file.value
         if text not in _loaded:
             _loaded.clear()
             _loaded[text] = Bpe(text)
         bpe = _loaded[text]
+        bpe.most_pieces = pieces
         for b in batches:
             out = {c: [] for c in want}
             for text in b.column("text"):
@@ -202,8 +204,11 @@ def _encoder(file, want: list[str]):
     return run
 
 
-def encode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
-    """doc_id and the wanted columns (see COLUMNS) for every row; path: a tokenizer file of a few MB, which is broadcast."""
+def encode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("n_tokens", "ids", "decoded"), pieces: int = MOST_PIECES) -> DataFrame:
+    """doc_id and the wanted columns (see COLUMNS) for every row; path: a tokenizer file of a few MB, which is broadcast.
+
+    pieces: how many distinct pieces of text a Python worker remembers, which costs memory and changes no result.
+    """
     with open(path, encoding="utf-8") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
-    return docs_of(docs, "doc_id", "text").mapInArrow(_encoder(file, list(columns)), schema(doc_id="long", **{c: COLUMNS[c] for c in columns}))
+    return docs_of(docs, "doc_id", "text").mapInArrow(_encoder(file, list(columns), pieces), schema(doc_id="long", **{c: COLUMNS[c] for c in columns}))

@@ -72,7 +72,7 @@ def slice_bytes(parts: int, least: int) -> int:
     return min(64 << 20, max(least, parts << 10))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """The batch in runs of rows with at most so many bytes of text (one row at least)."""
     import numpy as np
     import pyarrow.compute as pc

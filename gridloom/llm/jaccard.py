@@ -54,7 +54,7 @@ def _deal(parts: int, k: int):
     def run(batches):
         task, i = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for b in slices(whole, "text", slice_bytes(parts, 8 << 20)):
+            for b in slices(whole, "text", slice_bytes(parts, 4 << 20)):
                 data, offs = flat(b.column("text"))
                 h, o = distinct_shingles(data, offs, k)
                 m, n = len(b), np.diff(o)
