@@ -2,7 +2,8 @@
 
 Lines are the runs between line feeds.  Lines of at least LEAST bytes take part; two are near when their UTF-8
 bytes differ by at most EDITS edits, and classes are the connected components of that.  A class keeps its first line (by doc_id, then
-line number); its others go, in whatever document.
+line number); its others go, in whatever document.  With short=True shorter lines that aren't blank take part too, as
+classes of equal lines: they are in no index, their hashes are grouped.
 
 A line of length l is cut into EDITS + 1 even segments.  If two lines are near, one segment of the shorter occurs in the
 longer one, at a place that the length difference allows (multi-match-aware windows); so each line is indexed
@@ -12,7 +13,8 @@ edit distance.  Keys that more than HOT different lines meet under first pair ea
 lines of different classes, in blocks.
 
 Defined cases: a null or empty text has no lines; rows of one doc_id count as one document, in which a line at
-the same place is not a repeat; a null doc_id comes last; shorter lines and blank ones always stay; extra columns are ignored or kept.
+the same place is not a repeat; a null doc_id comes last; shorter lines that are blank (ASCII white space alone) always stay, other shorter ones
+unless short=True; extra columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, components, parts_for, schema, slice_bytes, slices
-from .words import _BYTE, _MUL, U64, _power, flat, mix64, span_hashes
+from .words import _BYTE, _IS_WORD, _MUL, U64, _power, flat, mix64, span_hashes
 
 EDITS = 2
 LEAST = 24
@@ -55,18 +57,22 @@ def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, end, row, np.arange(len(row)) - first
 
 
-def _long_lines(data: np.ndarray, offs: np.ndarray, least: int):
+def _long_lines(data: np.ndarray, offs: np.ndarray, least: int, short: bool = False):
+    """Lines of at least so many bytes; with short also the shorter ones that aren't blank."""
     start, end, row, number = line_spans(data, offs)
     keep = end - start >= least
+    if short:
+        inked = np.concatenate([[0], np.cumsum(_IS_WORD[data])])
+        keep |= inked[end] > inked[start]
     start, end, row, number = start[keep], end[keep], row[keep], number[keep]
     return start, end, row, number, span_hashes(data, start, end, lower=False)
 
 
-def _occurrences(least: int):
+def _occurrences(least: int, short: bool):
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text"):
-                _, _, row, number, h = _long_lines(*flat(b.column("text")), least)
+                _, _, row, number, h = _long_lines(*flat(b.column("text")), least, short)
                 k, t = (b.column(c).to_numpy()[row] for c in "kt")
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(t), pa.array(number.astype(np.int32)), pa.array(h.view(np.int64))], names=_LINES.names)
 
@@ -300,10 +306,10 @@ def _marks(batches):
 
 
 class LineDedup:
-    def __init__(self, docs: DataFrame, edits: int = EDITS, least: int = LEAST):
+    def __init__(self, docs: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False):
         if least <= edits:
             raise ValueError("lines must be longer than the edits allowed")
-        self.spark, self.edits, self.least = docs.sparkSession, edits, least
+        self.spark, self.edits, self.least, self.short = docs.sparkSession, edits, least, short
         self.scratch = Scratch(self.spark, "lines")
         self.docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k"), F.col("text").cast("string").alias("text"))
         self.texts = self.docs.select("text")
@@ -346,7 +352,7 @@ class LineDedup:
 
     def repeats(self) -> DataFrame:
         """(k, t, line): the lines that go; k is the doc_id, the largest long for null, and t the hash of the text."""
-        lines = self.docs.withColumn("t", F.xxhash64("text")).mapInArrow(_occurrences(self.least), _LINES)
+        lines = self.docs.withColumn("t", F.xxhash64("text")).mapInArrow(_occurrences(self.least, self.short), _LINES)
         roots = components(self.spark, self.links(), self.scratch)
         of = self.scratch.keep(lines.join(roots.withColumnRenamed("node", "h"), "h", "left").select("k", "t", "line", F.coalesce("root", "h").alias("c")))
         first = of.groupBy("c").agg(F.min(F.struct("k", "line")).alias("first"), F.max(F.struct("k", "line")).alias("last")).where("first <> last").select("c", "first")
@@ -375,10 +381,10 @@ def _cut(want: list[str], own: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("n_lines", "n_removed", "kept"), edits: int = EDITS, least: int = LEAST, keep: tuple[str, ...] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("n_lines", "n_removed", "kept"), edits: int = EDITS, least: int = LEAST, keep: tuple[str, ...] | None = None, short: bool = False) -> DataFrame:
     """A row of docs each: the columns in keep (doc_id if None), then of n_lines, n_removed, kept (the text left) and kept_sha256 those wanted."""
     keep = ("doc_id",) if keep is None else keep
-    gone = LineDedup(docs, edits, least).repeats().groupBy("k", "t").agg(F.collect_set("line").alias("gone"))
+    gone = LineDedup(docs, edits, least, short).repeats().groupBy("k", "t").agg(F.collect_set("line").alias("gone"))
     text = F.col("text").cast("string")
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__k"), F.xxhash64(text).alias("__t"), text.alias("__text"), *[F.col(c) for c in keep])
     rows = own.join(gone.select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("gone").alias("__gone")), ["__k", "__t"], "left").withColumnsRenamed({"__text": "text", "__gone": "gone"})

@@ -67,7 +67,7 @@ def op9_mix_sources(spark, sf_dir):
 def op10_line_dedup(spark, sf_dir):
     from .lines import dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents"), ("n_lines", "n_removed", "kept_sha256"))
+    return dedup_lines(table(spark, sf_dir, "documents"), ("n_lines", "n_removed", "kept_sha256"), short=True)
 
 
 def pipeline(spark, sf_dir):

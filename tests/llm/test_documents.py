@@ -263,6 +263,17 @@ def test_near_lines(spark, words, hot, monkeypatch):
     assert rows(dedup_lines(df, ("n_lines", "n_removed", "kept_sha256")), "doc_id", "n_lines", "n_removed", "kept_sha256") == brute_lines(docs)
 
 
+def test_short_lines_go_by_exact_repeats(spark, tmp_path):
+    from gridloom.llm.registry import queries
+
+    texts = ["Haanth.\n\nA line that is long enough to be compared.\nAnd ornd.", "And ornd.\n\nHaanth.\n \t\nHaantx.", "Haanth.\nHaanth.", "é\r\n \n \n" + " " * 30, "é\r\n" + " " * 30 + "\né", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    kept = [texts[0], "\n \t\nHaantx.", "", texts[3], "é", "", ""]
+    lines = [len(t.split("\n")) if t else 0 for t in texts]
+    gone = [0, 2, 2, 0, 2, 0, 0]
+    assert rows(queries()["op10_line_dedup"](spark, str(tmp_path)), "doc_id", "n_lines", "n_removed", "kept_sha256") == [(i, lines[i], gone[i], sha(k)) for i, k in enumerate(kept)]
+
+
 def test_lines_empty(no_docs):
     assert dedup_lines(no_docs).collect() == []
 
