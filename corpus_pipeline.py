@@ -4,7 +4,8 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes
 one's docs.  All but the last return the columns of documents; a stage works on all that its predecessor kept.
 
 toxicity       documents that the classifier rejects go; it learns from the labels of documents that are there
-line_dedup     lines that repeat an earlier one, exactly or within two edits, go; a document that has lost all its text goes
+line_dedup     lines that repeat an earlier one, exactly or (from 24 bytes on) within two edits, go, blank lines stay; a document that
+               has lost all its text goes, blank lines or none being what is left
 jaccard_join   of documents linked by n-gram Jaccard similarity the one with the smallest doc_id stays
 mix_sources    documents are repeated or left out so that sources reach their target weights, shard by shard, shuffled
 bpe            every document's ids, encoded and decoded again
@@ -32,8 +33,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = dedup_lines(docs, ("n_lines", "n_removed", "kept"), keep=("doc_id", "lang", "source", "n_chars"))
-    rows = rows.where("n_removed = 0 or n_removed < n_lines")
+    rows = dedup_lines(docs, ("n_lines", "n_removed", "kept"), keep=("doc_id", "lang", "source", "n_chars"), short=True)
+    rows = rows.where(F.expr("n_removed = 0") | F.col("kept").rlike(r"[^\x20\t\n\x0B\f\r]"))
     return rows.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 

@@ -80,5 +80,27 @@ def test_odd_rows_pass_all_stages(spark, odd_docs, no_docs):
         assert docs.columns[0] == "doc_id"
 
 
+def test_exact_copies_leave_nothing(spark):
+    """Copies with short and blank lines, of texts with and without lines of their own; blank texts that lost nothing stay."""
+    text = "Haanth.\n\nThe first paragraph is long enough to be compared.\n \t\nAnd ornd."
+    texts = [text, text, "Another text, which has a line of its own.\nAnd ornd.\n", text, "Con.", "Con.", " \n\n", " \n\n", "", None, "\n" + text + "\n", text + "\nOwn."]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t) if t else 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in P.line_dedup_stage(spark, docs, SF).collect()}
+    second = "Another text, which has a line of its own.\n"
+    assert got == {0: (text, len(text)), 2: (second, len(second)), 4: ("Con.", 4), 6: (" \n\n", 3), 7: (" \n\n", 3), 8: ("", 0), 9: (None, 0), 11: ("\n \t\nOwn.", 8)}
+
+
+def test_no_copy_is_left(stages):
+    """No later copy of a document comes out of line dedup, nor is any text there twice before mixing repeats documents."""
+    docs, out = stages["line_dedup"]
+    ids = {}
+    for r in docs.collect():
+        ids.setdefault(r.text, []).append(r.doc_id)
+    copies = {i for t, same in ids.items() if t and t.strip() for i in same if i > min(same)}
+    assert copies and not copies & {r.doc_id for r in out.collect()}
+    texts = [r.text for r in stages["jaccard_join"][1].collect() if (r.text or "").strip()]
+    assert len(texts) == len(set(texts))
+
+
 def test_components_agree(spark, odd_docs):
     assert jaccard_components(odd_docs).count() == odd_docs.count()
