@@ -13,8 +13,9 @@ Buckets hold some million keys each, whatever the input, and a text's equal keys
 too frequent.  Keys are 64-bit hashes of the bytes (their low 56 bits and the bucket, a stretch of the range, are sent): what a comparison of ranks would decide for
 ties is decided by the key, and two different strings would be taken as equal with a chance of some 2^-60 a pair.
 
-Buckets answer with a bit for each key.  Texts are read again for the answers and must be read the same way each time, in
-runs of rows: pass stable=False for a table that isn't read from files; it is then written first.  Defined cases: null is the empty text; rows are separate
+Buckets answer with a bit for each key, and a missing answer or one of another number of keys is an error.  Texts are read once, packed in
+numbered batches and written to the scratch folder; every pass reads these, so a batch has the same rows in all of them, however
+files are split or executors come and go.  Defined cases: null is the empty text; rows are separate
 texts even if they share a doc_id; texts under LENGTH bytes lose nothing; extra columns are ignored.
 """
 
@@ -36,9 +37,10 @@ LENGTH = 200
 # A perfect difference set modulo 91.
 V, COVER = 91, (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 SLICE = 4 << 20
+LEVEL = 6  # of zstd: packed texts are written once and shuffled twice
 _CHUNK = 1 << 20
 _DEALT = schema(batch="long", stage="int", part="int", keys="binary", many="binary")
-_ANSWER = schema(batch="long", stage="int", part="int", bits="binary", first="binary")
+_ANSWER = schema(batch="long", stage="int", part="int", n="long", bits="binary", first="binary")
 WIDTH = {0: 8, 1: 5, 2: 7}  # bytes sent of the keys of texts, samples and suffixes
 _PACKED = schema(batch="long", ids="binary", offsets="binary", data="binary")
 
@@ -115,10 +117,10 @@ def _deal(batch: int, stage: int, keys: np.ndarray, parts: int, more: np.ndarray
     ], names=_DEALT.names)
 
 
-def _numbered(batches, parts: int):
+def _numbered(batches, most: int):
     task, i = TaskContext.get().partitionId(), 0
     for whole in batches:
-        for b in slices(whole, "text", slice_bytes(parts, SLICE)):
+        for b in slices(whole, "text", most):
             yield (task << 32) | i, b
             i += 1
 
@@ -131,30 +133,33 @@ def _texts(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
 
 def _sampled(parts: int, length: int):
     def run(batches):
-        for batch, b in _numbered(batches, parts):
-            data, offs = flat(b.column("text"))
-            keys = window_hashes(data, samples(offs, length), length - V + 1)
-            if len(keys):
-                yield _deal(batch, 0, _texts(data, offs, length)[1], parts)
-                yield _deal(batch, 1, keys, parts)
+        for whole in batches:
+            for i in range(whole.num_rows):
+                packed = whole.slice(i, 1)
+                data, offs = _opened(packed)
+                keys = window_hashes(data, samples(offs, length), length - V + 1)
+                if len(keys):
+                    batch = packed["batch"][0].as_py()
+                    yield _deal(batch, 0, _texts(data, offs, length)[1], parts)
+                    yield _deal(batch, 1, keys, parts)
 
     return run
 
 
 def _pack(parts: int):
     def run(batches):
-        for batch, b in _numbered(batches, parts):
+        for batch, b in _numbered(batches, slice_bytes(parts, SLICE)):
             data, offs = flat(b.column("text"))
             ids = b.column("doc_id")
             own = np.stack([ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([own.tobytes()], pa.binary()), pa.array([offs.tobytes()], pa.binary()), pa.array([pa.Codec("zstd").compress(data.tobytes()).to_pybytes() if len(data) else b""], pa.binary())], names=_PACKED.names)
+            yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([own.tobytes()], pa.binary()), pa.array([offs.tobytes()], pa.binary()), pa.array([pa.Codec("zstd", compression_level=LEVEL).compress(data.tobytes()).to_pybytes() if len(data) else b""], pa.binary())], names=_PACKED.names)
 
     return run
 
 
 def _sorted_bucket(t: pa.Table) -> pa.Table:
     """One bucket: which of its keys occur more than once (bits), and which rows hold a key for the first time (first)."""
-    out = {"bits": [None] * len(t), "first": [None] * len(t)}
+    out = {"n": [0] * len(t), "bits": [None] * len(t), "first": [None] * len(t)}
     stages = np.array(t["stage"])
     for stage in np.unique(stages):
         rows, keys, many = np.flatnonzero(stages == stage), [], []
@@ -177,18 +182,24 @@ def _sorted_bucket(t: pa.Table) -> pa.Table:
         leads = np.zeros(len(k), bool)
         leads[order[np.concatenate([[True], ~same])]] = True
         for i, a, b in zip(rows, edges, edges[1:]):
+            out["n"][i] = int(b - a)
             out["bits"][i] = np.packbits(again[a:b]).tobytes()
             out["first"][i] = np.packbits(leads[a:b]).tobytes() if stage == 0 else None
-    return pa.table([t["batch"], t["stage"], t["part"], pa.array(out["bits"], pa.binary()), pa.array(out["first"], pa.binary())], names=_ANSWER.names)
+    return pa.table([t["batch"], t["stage"], t["part"], pa.array(out["n"], pa.int64()), pa.array(out["bits"], pa.binary()), pa.array(out["first"], pa.binary())], names=_ANSWER.names)
 
 
 def _answered(keys: np.ndarray, parts: int, answers: pa.Table, stage: int, column: str = "bits") -> np.ndarray:
-    """For each key, in its own order, the bit of its answer."""
+    """For each key, in its own order, the bit of its answer; every part with keys must have answered once, for as many keys."""
     _, place, distinct, edges, _ = _parted(keys, parts)
-    out = np.zeros(len(distinct), bool)
-    for s, p, bits in zip(answers["stage"].to_pylist(), answers["part"].to_pylist(), answers[column]):
+    out, asked = np.zeros(len(distinct), bool), np.diff(edges)
+    told = np.zeros(parts, np.int64)
+    for s, p, n, bits in zip(answers["stage"].to_pylist(), answers["part"].to_pylist(), answers["n"].to_pylist(), answers[column]):
         if s == stage:
-            out[edges[p] : edges[p + 1]] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=edges[p + 1] - edges[p]).astype(bool)
+            told[p] += n
+            if told[p] == asked[p]:
+                out[edges[p] : edges[p + 1]] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=n).astype(bool)
+    if (told != asked).any():
+        raise ValueError(f"answers of stage {stage} are for {told.sum()} keys, {len(distinct)} were asked: the batch has changed")
     return out[place]
 
 
@@ -260,14 +271,12 @@ def _removed(parts: int, length: int, want: list[str]):
 
 
 def dedup_substrings(docs: DataFrame, columns: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "kept"), length: int = LENGTH, stable: bool = True) -> DataFrame:
-    """doc_id and the wanted of n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 for every row."""
+    """doc_id and the wanted of n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 for every row; stable is without effect, as texts are read once."""
     if length < V + 8:
         raise ValueError(f"strings must have {V + 8} bytes at least")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     docs = docs_of(docs, "doc_id", "text")
-    if not stable:
-        docs = scratch.keep(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = parts_for(total * len(COVER) // V)
 
@@ -277,8 +286,8 @@ def dedup_substrings(docs: DataFrame, columns: tuple[str, ...] = ("n_bytes", "n_
         spark._jvm.System.gc()  # lets Spark drop the shuffle files of what is now written
         return out
 
-    first = bucketed(lambda: docs.mapInArrow(_sampled(parts, length), _DEALT))
-    packed = docs.mapInArrow(_pack(parts), _PACKED)
+    packed = scratch.keep(docs.mapInArrow(_pack(parts), _PACKED))
+    first = bucketed(lambda: packed.mapInArrow(_sampled(parts, length), _DEALT))
     second = bucketed(lambda: packed.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_suffixes(parts, length), _DEALT))
     answers = first.union(second)
     out = schema(doc_id="long", **{c: _OUT[c] for c in columns})
