@@ -212,7 +212,9 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, vector: str = "embeddin
     scratch = Scratch(spark, "ann")
     rows = clean(df, vector).where(F.exists("v", lambda x: x != 0))
     same = Window.partitionBy("v").orderBy("vec_id")
-    first = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
+    # k rows of each id, and 2 k in all: without those of any one id k are left.
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("v", "vec_id").orderBy("vec_id"))).where(F.col("n") <= k)
+    first = first.withColumn("n", F.row_number().over(same)).where(F.col("n") <= 2 * k)
     members = scratch.keep(first.withColumn("rep", F.min("vec_id").over(Window.partitionBy("v"))).withColumn("v", F.when(F.col("vec_id") == F.col("rep"), F.col("v"))))
     reps = members.where("n = 1").select(F.col("rep").alias("vec_id"), "v")
     ids = one_each(rows.where(F.col("vec_id") % every == 0))
@@ -252,7 +254,7 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, vector: str = "embeddin
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     hits = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "member")
-    full = hits.join(members.select("rep", F.col("vec_id").alias("member")), "rep").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    full = hits.join(members.select("rep", F.col("vec_id").alias("member")), "rep").withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2 * k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "member")
     out = full.join(ids.select("query", F.col("vec_id").alias("query_id")), "query").where("member <> query_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", F.col("member").alias("vec_id"), "score")

@@ -128,3 +128,13 @@ def test_generated_pages(spark):
     for r in extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).join(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
         assert r.text == " ".join(unescape(re.sub(r"</?b>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", body))).split())
+
+
+def test_equal_vectors_under_other_ids_are_found(spark):
+    """A query's own row is there more often than neighbours are asked for."""
+    from gridloom.llm.ann import nearest
+
+    vectors = [(0, [1.0, 0.0])] * 9 + [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = sorted((r.rank, r.vec_id) for r in nearest(df, every=20, k=3, half=100).collect())
+    assert got == [(1, 1), (2, 2), (3, 3)]
