@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault("dir", tempfile.mkdtemp(prefix="gridloom-"))
 
 
+ROW_GROUP = 16 << 20  # bytes a task buffers of a scratch table: rows may be large blobs
+
+
 class Scratch:
-    """Tables that cut lineage: written once to the shared folder, so that a lost executor costs a re-read only."""
+    """Tables that cut lineage: written once to the shared folder, so that a lost executor costs a re-read only.
+
+    A result may read them until the application ends; then the folder is deleted.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -30,7 +37,10 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.made)}"
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        if not self.made:
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         self.made.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
@@ -54,19 +64,52 @@ def docs_of(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(c).cast("long" if c in ids else "string").alias(c) for c in columns])
 
 
-KEYS, MOST_KEYS, MANY_PARTS = 3_000_000, 32_000_000, 4096
+KEYS, MOST_KEYS, MANY_PARTS = 1_000_000, 8_000_000, 4096
+MOST_TASKS = 65_536
 
 
 def parts_for(keys: int, least: int = 8) -> int:
     """How many parts to deal so many 8-byte keys into: KEYS in each, and from MANY_PARTS parts on up to MOST_KEYS.
 
-    A part is sorted in one Python worker (some 30 bytes a key). Every batch of texts sends a blob to each part, so parts must not grow
+    A part is sorted in one Python worker (some 50 bytes a key). Every batch of texts sends a blob to each part, so parts must not grow
     as fast as the input once there are thousands of them.
     """
     n = -(-keys // KEYS)
     return max(least, n if n <= MANY_PARTS else max(MANY_PARTS, -(-keys // MOST_KEYS)))
 
 
+def by_part(dealt: DataFrame, parts: int):
+    """The blobs of each part together, whatever the number of parts: a task may have several, one after the other."""
+    return dealt.repartition(min(parts, MOST_TASKS), "part").groupBy("part")
+
+
+def part_of(keys, parts: int):
+    """Equal stretches of the 64-bit range."""
+    return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def blobs(flat, edges) -> pa.Array:
+    """A binary column of the stretches between edges (in items) of a flat array."""
+    flat = np.ascontiguousarray(flat)
+    size = flat.dtype.itemsize * (flat.shape[1] if flat.ndim > 1 else 1)
+    edges = np.asarray(edges, np.int64) * size
+    if len(edges) < 2:
+        return pa.array([], pa.binary())
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(flat.reshape(-1).view(np.uint8))])
+
+
+def unblob(column, kind) -> tuple:
+    """The items of all blobs of a binary column, one after the other, and the edges of the blobs."""
+    parts = [np.frombuffer(x.as_buffer(), kind) if x.is_valid else np.zeros(0, kind) for x in column]
+    return np.concatenate(parts) if parts else np.zeros(0, kind), np.cumsum([0] + [len(x) for x in parts])
+
+
+def ramp(first, count) -> tuple:
+    """For runs that start at first and have count items: the run of each item, and first, first + 1, ... below first + count."""
+    run = np.repeat(np.arange(len(count)), count)
+    return run, np.arange(len(run)) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
 def slice_bytes(parts: int, least: int) -> int:
     """Text to take at a time, so that its keys make no tiny blobs where parts are many: a KiB for each part, 64 MiB at most."""
     return min(64 << 20, max(least, parts << 10))
@@ -74,7 +117,6 @@ def slice_bytes(parts: int, least: int) -> int:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """The batch in runs of rows with at most so many bytes of text (one row at least)."""
-    import numpy as np
     import pyarrow.compute as pc
 
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -220,6 +220,59 @@ def test_jaccard_links_are_whole(spark, words, monkeypatch):
     assert {(r.u, r.v) for r in join.links().collect()} == want
 
 
+def long_docs(n=70):
+    """Near copies of two bases of 700 and 1,500 words, each with many differences from others of its base."""
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(9000)]
+    bases, out = [rnd.choices(words, k=700), rnd.choices(words, k=1500), rnd.choices(words, k=40)], []
+    for i in range(n):
+        w = list(bases[rnd.choice([0, 0, 1, 2])])
+        for _ in range(rnd.choice([0, 1, 2, 4, 8, 16, 24]) * len(w) // 700):
+            w[rnd.randrange(len(w))] = rnd.choice(words)
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_jaccard_combinations_of_long_sets(spark):
+    """Sets of over 240 shingles: with next to no rare tokens, their links come from pairs within token classes."""
+    from gridloom.llm.jaccard import index_keys
+
+    docs = long_docs()
+    join = JaccardJoin(spark.createDataFrame(docs, "doc_id long, text string"), rare=2)
+    sets = {i: shingle_set(t) for i, t in docs}
+    reps = {r.doc_id for r in join.classes.select("doc_id").collect()}
+    want = {(i, j) for i in reps for j in reps if i > j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert {(r.u, r.v) for r in join.links().collect()} == want
+    nodes = [r.asDict() for r in join.nodes.collect()]
+    for r in nodes:
+        seq, df = np.frombuffer(r["seq"], "<u8"), np.frombuffer(r["df"], np.uint8)
+        one = [np.array([x]) for x in (r["n"], r["uniq"], r["n_rare"])]
+        found = list(index_keys(seq, df, np.array([0, len(seq)]), *one, 75))
+        r["pairs"], r["alone"] = {k for _, keys, _, _ in found[1:] for k in keys.tolist()}, set(found[0][1].tolist())
+        assert len(r["pairs"]) <= 4 * r["n"]
+    by = {r["doc_id"]: r for r in nodes}
+    large = [(i, j) for i, j in want if min(len(sets[i]), len(sets[j])) > 240]
+    only = [(i, j) for i, j in large if not by[i]["alone"] & by[j]["alone"]]
+    assert len(only) > 100 and all(by[i]["pairs"] & by[j]["pairs"] for i, j in only)
+
+
+@pytest.mark.parametrize("hot", [4, 1 << 16])
+def test_jaccard_hot_combinations_are_split(spark, words, hot):
+    """Keys of more than a few documents are split in blocks, and the result is the same."""
+    docs = near_docs(words, 150)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = JaccardJoin(df, rare=4, hot=hot).components()
+    assert rows(got, "doc_id", "n_shingles", "component_id") == brute_jaccard(docs)
+
+
+def test_jaccard_very_long_text(spark, words):
+    rnd = random.Random(12)
+    text = " ".join(rnd.choices(words, k=150_000))
+    docs = [(1, text), (2, text + " and more"), (3, text[: len(text) // 2]), (4, text[: len(text) * 9 // 10]), (5, "short")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(jaccard_components(df), "doc_id", "component_id") == [(1, 1), (2, 1), (3, 3), (4, 1), (5, 5)]
+
+
 def test_jaccard_empty(no_docs):
     assert jaccard_components(no_docs).collect() == []
 
