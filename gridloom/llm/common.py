@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,13 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.made)}"
-        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        few = "spark.sql.adaptive.coalescePartitions.parallelismFirst"  # else even a few rows make a file for every core
+        before = self.spark.conf.get(few)
+        self.spark.conf.set(few, "false")
+        try:
+            df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        finally:
+            self.spark.conf.set(few, before)
         if not self.made:
             root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
             root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
@@ -78,9 +85,30 @@ def parts_for(keys: int, least: int = 8) -> int:
     return max(least, n if n <= MANY_PARTS else max(MANY_PARTS, -(-keys // MOST_KEYS)))
 
 
-def by_part(dealt: DataFrame, parts: int):
-    """The blobs of each part together, whatever the number of parts: a task may have several, one after the other."""
-    return dealt.repartition(min(parts, MOST_TASKS), "part").groupBy("part")
+def by_part(dealt: DataFrame, parts: int, f, kind: T.StructType) -> DataFrame:
+    """f on the rows of each part together, a task for each: f takes an iterator of batches and yields batches.
+
+    A row's part is its partition, so nothing is hashed or sorted. Beyond MOST_TASKS parts a task has several, one after the other.
+    """
+    if parts <= MOST_TASKS:
+        return dealt.repartitionById(parts, F.col("part")).mapInArrow(_one_part(f), kind)
+    return dealt.repartition(MOST_TASKS, "part").groupBy("part").applyInArrow(_one_group(f), kind)
+
+
+def _one_part(f):
+    def run(batches):
+        rows = [b for b in batches if len(b)]
+        if rows:
+            yield from f(rows)
+
+    return run
+
+
+def _one_group(f):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(list(batches))
+
+    return run
 
 
 def part_of(keys, parts: int):

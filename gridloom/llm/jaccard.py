@@ -144,8 +144,9 @@ def _df_most(c: np.ndarray) -> np.ndarray:
     return np.where(c < 200, c, (1 << np.maximum(c - 192, 0)) - 1)
 
 
-def _frequencies(t: pa.Table) -> pa.Table:
+def _frequencies(batches):
     """One part: the tokens that two or more documents have, back to their batches."""
+    t = pa.Table.from_batches(batches)
     tokens, edges = _tokens(t["tokens"])
     order = np.argsort(tokens)
     first = _starts(tokens[order])
@@ -163,7 +164,7 @@ def _frequencies(t: pa.Table) -> pa.Table:
     run_edges = full[run_edges]
     runs = pa.array([runs[a:b].astype("<u4" if w else "<u2").tobytes() for w, a, b in zip(wide, run_edges, run_edges[1:])], pa.binary())
     low = tokens[keep].view(np.uint8).reshape(-1, 8)[:, :WIDTH]
-    return pa.table([t["part"], t["batch"], t["wide"], runs, blobs(low, kept[edges]), blobs(_df_class(df[keep]), kept[edges]), t["info"]], names=_SHARED.names)
+    yield from pa.table([t["part"], t["batch"], t["wide"], runs, blobs(low, kept[edges]), blobs(_df_class(df[keep]), kept[edges]), t["info"]], names=_SHARED.names).to_batches()
 
 
 def _gather(num: int, rare: int):
@@ -434,8 +435,8 @@ def _distinct_runs(found, most: int = 1 << 20):
 
 
 def _candidates(num: int, stars: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = _Bucket(pa.Table.from_batches(list(batches)), num)
+    def run(batches):
+        b = _Bucket(pa.Table.from_batches(batches), num)
         for pairs in _distinct_runs(b.stars() if stars else b.all()):
             yield b.ids(pairs)
 
@@ -490,7 +491,7 @@ class JaccardJoin:
         docs = docs_of(docs, "doc_id", "text")
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         parts = parts_for(total // 6)
-        shared = by_part(docs.mapInArrow(_deal(parts, k), _PARTS), parts).applyInArrow(_frequencies, _SHARED)
+        shared = by_part(docs.mapInArrow(_deal(parts, k), _PARTS), parts, _frequencies, _SHARED)
         #: every row of the table: doc_id, set size n, fingerprint fp; seq: its shared tokens, if it may have a link
         self.sets = self.scratch.keep(shared.groupBy("batch").applyInArrow(_gather(percent, rare), _SETS))
         first = self.sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "uniq", "n_rare", "score", "seq", "df")).alias("r"))
@@ -503,7 +504,7 @@ class JaccardJoin:
     def _pairs(self, comps: DataFrame | None, stars: bool) -> DataFrame:
         nodes = self.nodes.withColumn("comp", F.col("doc_id")) if comps is None else self.nodes.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
         index = nodes.mapInArrow(_index(self.parts, self.num, stars, self.hot), _INDEX)
-        found = by_part(index, self.parts).applyInArrow(_candidates(self.num, stars), _PAIR)
+        found = by_part(index, self.parts, _candidates(self.num, stars), _PAIR)
         if not stars and self.may_be_hot:
             found = found.union(self._hot_pairs(nodes))
         found = found.distinct()
