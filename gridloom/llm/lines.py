@@ -9,8 +9,15 @@ A line of length l is cut into EDITS + 1 even segments.  If two lines are near,
 longer one, at a place that the length difference allows (multi-match-aware windows); so each line is indexed
 under its segments (with length and ordinal) and probes those of lines up to EDITS shorter.  Entries travel as packed
 blobs, dealt by hash.  Lines that meet are compared by byte histograms and then, exactly, by a banded bit-parallel
-edit distance.  Keys that more than HOT different lines meet under first pair each line with one pivot, and after merging only
-lines of different classes, in blocks.
+edit distance.
+
+A key that more than HOT different lines meet under (a template's segment) first pairs each line with one pivot.  After merging,
+its lines get finer keys: EDITS edits move at most 2 EDITS of the histogram's counts, so of 2 EDITS + 2 groups of counts two are
+equal in near lines, and each pair of groups makes a key.  Under such a key lines outside its largest class meet all others, in
+blocks of bounded size.
+
+Occurrences are merged before they are dealt: a batch of texts sends one row for each different line, with the places that
+it has it in, so a common line has a row for each batch and no more.  Equal lines are told by 128 bits.
 
 Defined cases: a null or empty text has no lines; rows of one doc_id count as one document, in which a line at
 the same place is not a repeat; a null doc_id comes last; shorter lines that are blank (ASCII white space alone) always stay, other shorter ones
@@ -27,17 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, components, parts_for, schema, slice_bytes, slices
+from .common import Scratch, blobs, by_part, components, part_of, parts_for, ramp, schema, slice_bytes, slices, unblob
 from .words import _BYTE, _IS_WORD, _MUL, U64, _power, flat, mix64, span_hashes
 
 EDITS = 2
 LEAST = 24
 HOT = 64
 BLOCK = 4096
-TYPICAL = 200  # bytes of a line, to set the number of parts; shorter lines make larger parts, by a factor of TYPICAL / LEAST at most
 _INDEX = schema(part="int", lines="binary", sigs="binary", keys="binary", at="binary", role="binary")
 _FOUND = schema(key="long", u="long", v="long", sig="long")
-_LINES = schema(k="long", t="long", line="int", h="long")
+_LINES = schema(h="long", g="long", k="long", line="int", last_k="long", last="int", at="binary")
+_FINER = schema(key="long", h="long", sig="long", root="long")
+_PAIR = schema(u="long", v="long")
+_PLACE = np.dtype([("k", "<i8"), ("t", "<i8"), ("line", "<i4")])
 
 
 def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,17 +77,46 @@ def _long_lines(data: np.ndarray, offs: np.ndarray, least: int, short: bool = Fa
     return start, end, row, number, span_hashes(data, start, end, lower=False)
 
 
+def _other_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A second 64-bit hash of each line, by another table of bytes."""
+    return span_hashes(data, start, end, lower=False, salt=1)
+
+
 def _occurrences(least: int, short: bool):
+    """Each different line of a batch: its hashes, first and last place (k, line), and all of them (at)."""
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text"):
-                _, _, row, number, h = _long_lines(*flat(b.column("text")), least, short)
-                k, t = (b.column(c).to_numpy()[row] for c in "kt")
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(t), pa.array(number.astype(np.int32)), pa.array(h.view(np.int64))], names=_LINES.names)
+                data, offs = flat(b.column("text"))
+                start, end, row, number, h = _long_lines(data, offs, least, short)
+                if not len(h):
+                    continue
+                g = _other_hashes(data, start, end)
+                place = np.zeros(len(h), _PLACE)
+                for c in "kt":
+                    place[c] = b.column(c).to_numpy()[row]
+                place["line"] = number
+                order = np.lexsort((number, place["k"], g, h))
+                h, g, place = h[order], g[order], place[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(h)) - 1
+                columns = [h[first].view(np.int64), g[first].view(np.int64), place["k"][first], place["line"][first], place["k"][last], place["line"][last]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), blobs(place.view(np.uint8), np.append(first, len(h)) * _PLACE.itemsize)], names=_LINES.names)
 
     return run
 
 
+def _all_but_first(batches):
+    """The places of each row but the first one of its class."""
+    for b in batches:
+        place, edges = unblob(b.column("at"), _PLACE)
+        k, line = (np.repeat(b.column(c).to_numpy(), np.diff(edges)) for c in ("first_k", "first_line"))
+        gone = place[(place["k"] != k) | (place["line"] != line)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(gone[c])) for c in ("k", "t", "line")], names=["k", "t", "line"])
+
+
 def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Start and length of the edits + 1 even segments of lines of these lengths (the last ones longer by one)."""
     n, out, at = edits + 1, [], np.zeros(len(length), np.int64)
@@ -144,32 +182,31 @@ def _index(parts: int, edits: int, least: int):
                     at.append(lines)
                     role.append(np.full(len(lines), r, np.uint8))
                 keys, at, role = np.concatenate(keys), np.concatenate(at), np.concatenate(role)
-                part = ((keys >> U64(40)) % U64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], np.arange(parts + 1))
-                out = []
-                for p in range(parts):
-                    mine = order[edges[p] : edges[p + 1]]
-                    if len(mine):
-                        own, local = np.unique(at[mine], return_inverse=True)
-                        out.append((p, h[own].tobytes(), sig[own].tobytes(), keys[mine].tobytes(), local.astype("<u4").tobytes(), role[mine].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 0 else pa.binary()) for i, x in enumerate(zip(*out))], names=_INDEX.names)
+                part = part_of(keys, parts)
+                order = np.lexsort((at, part))
+                part, keys, at, role = part[order], keys[order], at[order], role[order]
+                edges = np.searchsorted(part, np.arange(parts + 1))
+                own = np.flatnonzero(np.diff(edges))
+                edges = np.append(edges[own], edges[-1])
+                new = np.ones(len(at), bool)
+                new[1:] = (at[1:] != at[:-1]) | (part[1:] != part[:-1])
+                first = np.flatnonzero(new)
+                of_line = np.searchsorted(first, edges)
+                local = np.cumsum(new) - 1 - np.repeat(of_line[:-1], np.diff(edges))
+                lines = at[first]
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), blobs(h[lines], of_line), blobs(sig[lines], of_line), blobs(keys, edges), blobs(local.astype("<u4"), edges), blobs(role, edges)], names=_INDEX.names)
 
     return run
 
 
 def _meet(edits: int, hot: int):
     """Within one part: pairs of different lines under one key; of a hot key its lines, each with v null."""
-    def run(t: pa.Table) -> pa.Table:
-        h, sig, keys, at, role, base = [], [], [], [], [], 0
-        for i in range(t.num_rows):
-            own = np.frombuffer(t["lines"][i].as_py(), "<u8")
-            h.append(own), sig.append(np.frombuffer(t["sigs"][i].as_py(), "<u8"))
-            keys.append(np.frombuffer(t["keys"][i].as_py(), "<u8"))
-            at.append(np.frombuffer(t["at"][i].as_py(), "<u4").astype(np.int64) + base)
-            role.append(np.frombuffer(t["role"][i].as_py(), "u1"))
-            base += len(own)
-        h, sig, keys, at, role = map(np.concatenate, (h, sig, keys, at, role))
+    def run(batches):
+        t = pa.Table.from_batches(batches)
+        h, base = unblob(t["lines"], "<u8")
+        sig, role = unblob(t["sigs"], "<u8")[0], unblob(t["role"], "u1")[0]
+        keys, edges = unblob(t["keys"], "<u8")
+        at = unblob(t["at"], "<u4")[0].astype(np.int64) + np.repeat(base[:-1], np.diff(edges))
         # Equal lines of several batches are one.
         h, first, same = np.unique(h, return_index=True, return_inverse=True)
         sig, at = sig[first], same.ravel()[at]
@@ -183,7 +220,7 @@ def _meet(edits: int, hot: int):
         indexed = np.concatenate([[0], np.cumsum(role == 0)])
         n_index = indexed[start + size] - indexed[start]
         some = (size > 1) & (n_index > 0)
-        pairs, out = [], [[], [], [], []]
+        pairs = []
         for m in np.unique(size[some & (size <= hot)]):
             i, j = np.triu_indices(int(m), 1)
             starts = start[some & (size == m)]
@@ -197,29 +234,60 @@ def _meet(edits: int, hot: int):
                 pairs.append(np.unique(np.minimum(a[ok], b[ok]) * len(h) + np.maximum(a[ok], b[ok])))
         pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         signed = h.view(np.int64)
-        out = [(np.zeros(len(pairs), np.int64), signed[pairs // max(1, len(h))], signed[pairs % max(1, len(h))], np.zeros(len(pairs), np.int64), np.ones(len(pairs), bool))]
-        for s, m in zip(start[some & (size > hot)], size[some & (size > hot)]):
-            x = at[s : s + m]
-            out.append((np.full(m, keys[s].view(np.int64)), signed[x], signed[x], sig[x].view(np.int64), np.zeros(m, bool)))
-        key, u, v, g, is_pair = (np.concatenate(c) for c in zip(*out))
-        return pa.table([pa.array(key), pa.array(u), pa.array(v, mask=~is_pair), pa.array(g)], names=_FOUND.names)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), np.int64)), pa.array(signed[pairs // len(h)]), pa.array(signed[pairs % len(h)]), pa.array(np.zeros(len(pairs), np.int64))], names=_FOUND.names)
+        warm = some & (size > hot)
+        if warm.any():
+            run, x = ramp(start[warm], size[warm])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[start[warm]].view(np.int64)[run]), pa.array(signed[at[x]]), pa.nulls(len(x), pa.int64()), pa.array(sig[at[x]].view(np.int64))], names=_FOUND.names)
+
+    return run
+
+
+def _alike(edits: int):
+    """Pairs (u, v) whose signatures su, sv allow so few edits."""
+    def run(batches):
+        for b in batches:
+            su, sv = (b.column(c).to_numpy().view(U64) for c in ("su", "sv"))
+            yield b.select(["u", "v"]).filter(pa.array(_apart(su, sv) <= 2 * edits))
+
+    return run
+
+
+def finer_keys(sig: np.ndarray, edits: int):
+    """Keys by pairs of groups of a signature's counts: of 2 * edits + 2 groups two are equal in lines within so many edits."""
+    groups = [sum(15 << 4 * int(c) for c in g) for g in np.array_split(np.arange(16), 2 * edits + 2) if len(g)]
+    if len(groups) < 2 * edits + 2:
+        yield np.zeros(len(sig), U64)  # too many edits for sixteen counts
+        return
+    for i in range(len(groups)):
+        for j in range(i):
+            yield mix64(sig & U64(groups[i] | groups[j])) + U64(i * 16 + j)
+
+
+def _finer(edits: int):
+    def run(batches):
+        for b in batches:
+            key, sig = (b.column(c).to_numpy().view(U64) for c in ("key", "sig"))
+            for k in finer_keys(sig, edits):
+                yield pa.RecordBatch.from_arrays([pa.array(mix64(key ^ k).view(np.int64)), b.column("h"), b.column("sig"), b.column("root")], names=_FINER.names)
 
     return run
 
 
 def _across(edits: int):
-    """Pairs of different classes within a pair of blocks of a hot key."""
+    """Pairs of different classes within a pair of blocks of a hot key: those outside its largest class, and all."""
     def run(t: pa.Table) -> pa.Table:
-        h, g, c = t["h"].to_numpy(), t["sig"].to_numpy().view(U64), t["root"].to_numpy()
-        left, right = np.flatnonzero(t["side"].to_numpy() <= 1), np.flatnonzero(t["side"].to_numpy() >= 1)
-        out = []
+        h, g, c, stray = t["h"].to_numpy(), t["sig"].to_numpy().view(U64), t["root"].to_numpy(), t["stray"].to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(stray), np.flatnonzero(~stray)
+        out = [np.zeros((2, 0), np.int64)]
         for i in range(0, len(left), 256):
-            x, y = (k.ravel() for k in np.meshgrid(left[i : i + 256], right, indexing="ij"))
-            ok = (c[x] != c[y]) & (h[x] < h[y])
+            x, y = np.repeat(left[i : i + 256], len(right)), np.tile(right, len(left[i : i + 256]))
+            ok = c[x] != c[y]
             x, y = x[ok], y[ok]
             ok = _apart(g[x], g[y]) <= 2 * edits
-            out.append(np.stack([h[x[ok]], h[y[ok]]]))
-        u, v = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+            out.append(np.unique(np.sort(np.stack([h[x[ok]], h[y[ok]]]), axis=0), axis=1))
+        u, v = np.concatenate(out, axis=1)
         return pa.table([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return run
@@ -271,45 +339,66 @@ def edit_within(a: list[bytes], b: list[bytes], edits: int) -> np.ndarray:
 
 
 def _verify(edits: int):
+    """Near pairs, with the second hashes of their lines."""
     def run(batches):
         for b in batches:
-            ok = edit_within(b.column("tu").to_pylist(), b.column("tv").to_pylist(), edits)
-            yield b.select(["u", "v"]).filter(pa.array(ok))
+            tu, tv = b.column("tu"), b.column("tv")
+            ok = pa.array(edit_within(tu.to_pylist(), tv.to_pylist(), edits))
+            second = []
+            for x in (tu, tv):
+                data, offs = flat(x.filter(ok))
+                second.append(pa.array(_other_hashes(data, offs[:-1], offs[1:]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.select(["u", "v"]).filter(ok).columns, *second], names=["u", "v", "gu", "gv"])
 
     return run
 
 
-_BITS = 1 << 22
+_VERIFIED = schema(u="long", v="long", gu="long", gv="long")
+MOST_BITS = 1 << 28  # of the bitmap that is broadcast (32 MiB)
+_STRETCH = 1 << 20
 
 
 def _texts(needed, least: int):
-    """The lines whose hash is in the bitmap (of fixed size: where it is dense, more lines come than are needed)."""
+    """The lines whose hash is in the bitmap (where that is dense, more lines come than are needed)."""
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(needed.value, np.uint8), bitorder="little").astype(bool)
+        raw = np.frombuffer(needed.value, np.uint8)
+        n = U64(8 * len(raw))
         for whole in batches:
             for b in slices(whole, "text"):
                 data, offs = flat(b.column("text"))
                 start, end, _, _, h = _long_lines(data, offs, least)
-                hit = np.flatnonzero(bits[(mix64(h) % U64(_BITS)).astype(np.int64)])
+                place = (mix64(h) % n).astype(np.int64)
+                hit = np.flatnonzero(raw[place >> 3] >> (place & 7).astype(np.uint8) & 1)
                 _, one = np.unique(h[hit], return_index=True)
                 hit = hit[one]
-                raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array([raw[s:e] for s, e in zip(start[hit], end[hit])], pa.binary())], names=["h", "line"])
+                text = data.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array([text[s:e] for s, e in zip(start[hit], end[hit])], pa.binary())], names=["h", "line"])
 
     return run
 
 
-def _marks(batches):
-    """Places of the hashes in the bitmap, each once a batch."""
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique((mix64(b.column("h").to_numpy().view(U64)) % U64(_BITS)).astype(np.int32)))], names=["at"])
+def _marks(bits: int):
+    """Places of the hashes in the bitmap, by stretches of it."""
+    def run(batches):
+        for b in batches:
+            at = np.unique((mix64(b.column("h").to_numpy().view(U64)) % U64(bits)).astype(np.int64))
+            own, first = np.unique(at // _STRETCH, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), blobs((at % _STRETCH).astype("<u4"), np.append(first, len(at)))], names=["part", "at"])
+
+    return run
+
+
+def _stretch(t: pa.Table) -> pa.Table:
+    bits = np.zeros(_STRETCH, np.uint8)
+    bits[unblob(t["at"], "<u4")[0]] = 1
+    return pa.table([t["part"][:1], pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "at"])
 
 
 class LineDedup:
-    def __init__(self, docs: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False):
+    def __init__(self, docs: DataFrame, edits: int = EDITS, least: int = LEAST, short: bool = False, hot: int = HOT, block: int = BLOCK):
         if least <= edits:
             raise ValueError("lines must be longer than the edits allowed")
-        self.spark, self.edits, self.least, self.short = docs.sparkSession, edits, least, short
+        self.spark, self.edits, self.least, self.short, self.hot, self.block = docs.sparkSession, edits, least, short, hot, block
         self.scratch = Scratch(self.spark, "lines")
         self.docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k"), F.col("text").cast("string").alias("text"))
         self.texts = self.docs.select("text")
@@ -317,46 +406,59 @@ class LineDedup:
     def _verified(self, pairs: DataFrame) -> DataFrame:
         pairs = self.scratch.keep(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         ends = pairs.select(F.col("u").alias("h")).union(pairs.select(F.col("v").alias("h")))
-        # At most as many places as the bitmap has bits, whatever the number of pairs.
-        marks = ends.mapInArrow(_marks, schema(at="int")).distinct().toArrow()["at"].to_numpy()
-        bits = np.zeros(_BITS, np.uint8)
-        bits[marks] = 1
-        needed = self.spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
+        # Some sixteen bits an end, up to a bitmap of fixed size.
+        bits = min(MOST_BITS, max(_STRETCH, 1 << (32 * pairs.count()).bit_length()))
+        kind = schema(part="int", at="binary")
+        raw = np.zeros(bits // 8, np.uint8)
+        for r in ends.mapInArrow(_marks(bits), kind).groupBy("part").applyInArrow(_stretch, kind).toArrow().to_pylist():
+            raw[r["part"] * _STRETCH // 8 :][: _STRETCH // 8] = np.frombuffer(r["at"], np.uint8)
+        needed = self.spark.sparkContext.broadcast(raw.tobytes())
         lines = self.scratch.keep(self.texts.mapInArrow(_texts(needed, self.least), schema(h="long", line="binary")).groupBy("h").agg(F.min("line").alias("line")))
         for c in "uv":
             pairs = pairs.join(lines.select(F.col("h").alias(c), F.col("line").alias("t" + c)), c)
-        return self.scratch.keep(pairs.mapInArrow(_verify(self.edits), schema(u="long", v="long")))
+        return self.scratch.keep(pairs.mapInArrow(_verify(self.edits), _VERIFIED))
 
     def links(self) -> DataFrame:
-        """Near pairs (u, v) of line hashes: enough to connect every class."""
-        total = self.texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        parts = parts_for(total * 5 * (self.edits + 1) // TYPICAL)
-        dealt = self.texts.mapInArrow(_index(parts, self.edits, self.least), _INDEX)
-        found = self.scratch.keep(dealt.repartition(parts, "part").groupBy("part").applyInArrow(_meet(self.edits, HOT), _FOUND))
+        """Near pairs (u, v) of line hashes, with second hashes (gu, gv): enough to connect every class."""
+        lines = "least(octet_length(text) div {} + 1, 1 + octet_length(text) - octet_length(replace(text, '\n', '')))".format(self.least + 1)
+        total = self.texts.agg(F.sum(F.expr(lines))).first()[0] or 0
+        parts = parts_for(total * 5 * (self.edits + 1))
+        found = self.scratch.keep(by_part(self.texts.mapInArrow(_index(parts, self.edits, self.least), _INDEX), parts, _meet(self.edits, self.hot), _FOUND))
         pairs = found.where("v is not null").select("u", "v")
         hot = found.where("v is null").select("key", F.col("u").alias("h"), "sig")
-        pivots = hot.groupBy("key").agg(F.min("h").alias("u"), F.count("*").alias("m"))
-        stars = hot.join(pivots, "key").where("h <> u").select("u", F.col("h").alias("v"))
-        first = self._verified(pairs.union(stars))
+        pivots = hot.groupBy("key").agg(F.min(F.struct("h", "sig")).alias("p"))
         if pivots.isEmpty():
-            return first
-        roots = components(self.spark, first, self.scratch)
+            return self._verified(pairs)
+        stars = hot.join(pivots, "key").where("h <> p.h").select(F.col("p.h").alias("u"), F.col("h").alias("v"), F.col("p.sig").alias("su"), F.col("sig").alias("sv"))
+        first = self._verified(pairs.union(stars.mapInArrow(_alike(self.edits), _PAIR)))
+        roots = components(self.spark, first.select("u", "v"), self.scratch)
         left = hot.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-        several = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a <> b").select("key", F.expr(f"cast(ceil(m / {BLOCK}) as int) as blocks"))
-        left = left.join(several, "key").withColumn("own", F.expr("cast(pmod(xxhash64(h), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        left = left.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.expr("if(own = other, 1, if(own < other, 0, 2)) as side"), "h", "sig", "root")
-        # Between two blocks either order of a pair may be the smaller one: both sides are left and right.
-        both = left.union(left.where("side <> 1").withColumn("side", F.expr("2 - side")))
-        rest = both.groupBy("key", "i", "j").applyInArrow(_across(self.edits), schema(u="long", v="long"))
+        several = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        finer = self.scratch.keep(left.join(several, "key").select("key", "h", "sig", "root").mapInArrow(_finer(self.edits), _FINER))
+        sizes = finer.groupBy("key", "root").agg(F.count("*").alias("c"))
+        top = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("m"))
+        top = top.selectExpr("key", "top.root as main", "m - top.c as strays", "m").where("strays > 0")
+        top = top.selectExpr("key", "main", f"cast(ceil(strays / {self.block}) as int) as groups", f"cast(ceil(m / {self.block}) as int) as blocks")
+        rows = finer.join(top, "key")
+        # Lines outside the largest class go to all blocks as left members; all go to their own block as right ones.
+        right = rows.selectExpr("key", "h", "sig", "root", "false as stray", "explode(sequence(0, groups - 1)) as i", "cast(pmod(xxhash64(h), blocks) as int) as j")
+        out = rows.where("root <> main").selectExpr("key", "h", "sig", "root", "true as stray", "cast(pmod(xxhash64(h, 7), groups) as int) as i", "explode(sequence(0, blocks - 1)) as j")
+        rest = right.union(out).groupBy("key", "i", "j").applyInArrow(_across(self.edits), _PAIR)
         return first.union(self._verified(rest))
 
     def repeats(self) -> DataFrame:
         """(k, t, line): the lines that go; k is the doc_id, the largest long for null, and t the hash of the text."""
         lines = self.docs.withColumn("t", F.xxhash64("text")).mapInArrow(_occurrences(self.least, self.short), _LINES)
-        roots = components(self.spark, self.links(), self.scratch)
-        of = self.scratch.keep(lines.join(roots.withColumnRenamed("node", "h"), "h", "left").select("k", "t", "line", F.coalesce("root", "h").alias("c")))
-        first = of.groupBy("c").agg(F.min(F.struct("k", "line")).alias("first"), F.max(F.struct("k", "line")).alias("last")).where("first <> last").select("c", "first")
-        return of.join(first, "c").where("struct(k, line) <> first").select("k", "t", "line")
+        links = self.links()
+        roots = components(self.spark, links.select("u", "v"), self.scratch)
+        second = links.selectExpr("u as node", "gu as g").union(links.selectExpr("v as node", "gv as g")).distinct()
+        roots = roots.join(second, "node").select(F.col("node").alias("h"), "g", "root")
+        # A class is a root, or the 128 bits of a line that is near to no other.
+        of = lines.join(roots, ["h", "g"], "left").select(F.coalesce("root", "h").alias("c"), F.when(F.col("root").isNull(), F.col("g")).otherwise(F.lit(0)).alias("d"), "k", "line", "last_k", "last", "at")
+        of = self.scratch.keep(of)
+        first = of.groupBy("c", "d").agg(F.min(F.struct("k", "line")).alias("first"), F.max(F.struct(F.col("last_k").alias("k"), F.col("last").alias("line"))).alias("last")).where("first <> last")
+        first = first.select("c", "d", F.col("first.k").alias("first_k"), F.col("first.line").alias("first_line"))
+        return of.select("c", "d", "at").join(first, ["c", "d"]).select("at", "first_k", "first_line").mapInArrow(_all_but_first, schema(k="long", t="long", line="int"))
 
 
 def _cut(want: list[str], own: list[str]):
@@ -381,10 +483,10 @@ def _cut(want: list[str], own: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("n_lines", "n_removed", "kept"), edits: int = EDITS, least: int = LEAST, keep: tuple[str, ...] | None = None, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("n_lines", "n_removed", "kept"), edits: int = EDITS, least: int = LEAST, keep: tuple[str, ...] | None = None, short: bool = False, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """A row of docs each: the columns in keep (doc_id if None), then of n_lines, n_removed, kept (the text left) and kept_sha256 those wanted."""
     keep = ("doc_id",) if keep is None else keep
-    gone = LineDedup(docs, edits, least, short).repeats().groupBy("k", "t").agg(F.collect_set("line").alias("gone"))
+    gone = LineDedup(docs, edits, least, short, hot, block).repeats().groupBy("k", "t").agg(F.collect_set("line").alias("gone"))
     text = F.col("text").cast("string")
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__k"), F.xxhash64(text).alias("__t"), text.alias("__text"), *[F.col(c) for c in keep])
     rows = own.join(gone.select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("gone").alias("__gone")), ["__k", "__t"], "left").withColumnsRenamed({"__text": "text", "__gone": "gone"})

@@ -78,10 +78,12 @@ def word_spans(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = _IS_WORD)
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each span (sorted, not overlapping), A-Z as a-z if lower."""
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True, salt: int = 0) -> np.ndarray:
+    """64-bit hash of each span (sorted, not overlapping), A-Z as a-z if lower; another salt makes another hash."""
     out = np.empty(len(start), dtype=U64)
     table, i = _BYTE_LOWER if lower else _BYTE, 0
+    if salt:
+        table = mix64(table + U64(salt) * _MUL[60])
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + _CHUNK, "right")))
         a, b = int(start[i]), int(end[j - 1])

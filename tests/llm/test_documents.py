@@ -330,11 +330,8 @@ def test_lines(odd_docs):
     assert got == brute_lines(pairs_of(odd_docs))
 
 
-@pytest.mark.parametrize("hot", [64, 4])
-def test_near_lines(spark, words, hot, monkeypatch):
-    import gridloom.llm.lines as lines
-
-    monkeypatch.setattr(lines, "HOT", hot)
+@pytest.mark.parametrize(("hot", "block"), [(64, 4096), (4, 4096), (2, 5)])
+def test_near_lines(spark, words, hot, block):
     rnd = random.Random(8)
     base = [" ".join(rnd.choices(words, k=rnd.randint(4, 12))) for _ in range(25)]
     docs = []
@@ -348,7 +345,43 @@ def test_near_lines(spark, words, hot, monkeypatch):
             own.append("".join(x))
         docs.append((i, "\n".join(own)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert rows(dedup_lines(df, ("n_lines", "n_removed", "kept_sha256")), "doc_id", "n_lines", "n_removed", "kept_sha256") == brute_lines(docs)
+    assert rows(dedup_lines(df, ("n_lines", "n_removed", "kept_sha256"), hot=hot, block=block), "doc_id", "n_lines", "n_removed", "kept_sha256") == brute_lines(docs)
+
+
+def test_lines_of_one_template(spark, words):
+    """Many lines with a common segment, few of them near each other; and one line in most documents."""
+    rnd = random.Random(10)
+    docs = []
+    for i in range(300):
+        own = [f"The notice of the house is signed by {rnd.choice(words)} {rnd.choice(words)}", "A common line that nearly every document has."]
+        docs.append((i, "\n".join(own + own[: i % 2])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = dedup_lines(df, ("n_lines", "n_removed", "kept_sha256"), hot=8, block=16)
+    assert rows(got, "doc_id", "n_lines", "n_removed", "kept_sha256") == brute_lines(docs)
+
+
+def test_finer_keys_agree_in_near_lines():
+    from gridloom.llm.lines import _signature, finer_keys
+
+    rnd = random.Random(14)
+    for _ in range(300):
+        a = [rnd.randrange(97, 123) for _ in range(rnd.randint(24, 60))]
+        b = a[:]
+        for _ in range(2):
+            k = rnd.randrange(len(b))
+            b[k : k + rnd.randint(0, 1)] = [rnd.randrange(97, 123)] * rnd.randint(0, 1)
+        data = np.array(a + b, np.uint8)
+        sig = _signature(data, np.array([0, len(a)]), np.array([len(a), len(a) + len(b)]))
+        assert any(k[0] == k[1] for k in finer_keys(sig, 2))
+
+
+def test_lines_very_long_text(spark, words):
+    rnd = random.Random(13)
+    lines = [" ".join(rnd.choices(words, k=8)) for _ in range(20_000)]
+    docs = [(1, "\n".join(lines)), (2, "\n".join(lines[::2]) + "\nAnother line that is only there."), (3, "x" * 300_000), (4, "x" * 299_999 + "y")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in dedup_lines(df).collect()}
+    assert got[1][0] == 20_000 and got[2] == (10_001, 10_000) and got[3] == (1, 0) and got[4] == (1, 1)
 
 
 def test_short_lines_go_by_exact_repeats(spark, tmp_path):
