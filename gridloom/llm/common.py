@@ -36,15 +36,16 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made: list[str] = []
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, small: bool = False) -> DataFrame:
+        """small: adaptive execution may join as many partitions as it likes; else even a few rows make a file for every core."""
         path = f"{self.root}/{len(self.made)}"
-        few = "spark.sql.adaptive.coalescePartitions.parallelismFirst"  # else even a few rows make a file for every core
-        before = self.spark.conf.get(few)
-        self.spark.conf.set(few, "false")
+        cores = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+        before = self.spark.conf.get(cores)
         try:
+            self.spark.conf.set(cores, str(not small and before == "true").lower())
             df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         finally:
-            self.spark.conf.set(few, before)
+            self.spark.conf.set(cores, before)
         if not self.made:
             root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
             root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
@@ -166,7 +167,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     Alternating large-star and small-star contraction: only aggregations and joins on the edges, which
     never gather a node's neighbours in one place; every round is written to the shared folder.
     """
-    now = scratch.keep(_pairs(edges))
+    now = scratch.keep(_pairs(edges), small=True)
     mark = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -174,7 +175,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
         large = _pairs(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.keep(_pairs(small.union(low.select("u", F.col("m").alias("v")))))
+        new = scratch.keep(_pairs(small.union(low.select("u", F.col("m").alias("v")))), small=True)
         seen = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(now)
         now = new

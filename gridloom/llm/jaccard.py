@@ -534,12 +534,12 @@ class JaccardJoin:
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row of the table."""
-        star = self._pairs(None, stars=True)
-        rest = self._pairs(components(self.spark, star, self.scratch), stars=False)
-        of = self.scratch.keep(self.membership())
+        first = components(self.spark, self._pairs(None, stars=True), self.scratch)
+        rest = self._pairs(first, stars=False)
+        of = self.scratch.keep(self.membership(), small=True)
         several = of.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id")
         same = of.join(several, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-        comps = components(self.spark, star.union(rest).union(same), self.scratch)
+        comps = components(self.spark, first.selectExpr("node as u", "root as v").union(rest).union(same), self.scratch)
         out = of.withColumn("node", F.coalesce("rep", "doc_id")).join(comps, "node", "left")
         return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "node").alias("component_id"))
 

@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm.bpe import Bpe, encode
@@ -442,8 +443,8 @@ def targets(sizes):
         capped |= over
 
 
-def check_mix(df):
-    got = mix(df).collect()
+def check_mix(df, shards=None):
+    got = mix(df, shards=shards).collect()
     sizes = defaultdict(int)
     for r in df.collect():
         sizes[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
@@ -466,8 +467,8 @@ def test_mix_deals_evenly(spark, words):
     rnd = random.Random(6)
     data = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 40))), "abcdefg"[min(6, int(rnd.random() ** 2 * 9))]) for i in range(3000)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
-    got = check_mix(df)
-    assert sorted(map(repr, got)) == sorted(map(repr, mix(df.repartition(7)).collect()))
+    got = check_mix(df, 16)
+    assert sorted(map(repr, got)) == sorted(map(repr, mix(df.repartition(7), shards=16).collect()))
     shards = defaultdict(int)
     for r in got:
         for c in r.copies:
@@ -475,8 +476,42 @@ def test_mix_deals_evenly(spark, words):
     assert set(shards) == set(range(16)) and max(shards.values()) < 2 * min(shards.values())
     plan = mix(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    out = mixture(df)
+    out = mixture(df, shards=16)
     assert out.columns == df.columns and out.count() == sum(len(r.copies) for r in got)
+    # A partition is a shard, shuffled.
+    held = out.withColumn("p", F.spark_partition_id()).collect()
+    assert len({r.p for r in held}) == 16 and {(r.doc_id, r.p) for r in held} == {(r.doc_id, c.shard) for r in got for c in r.copies}
+    first = [r.doc_id for r in held if r.p == 0]
+    assert first != sorted(first)
+
+
+def test_mix_many_sources(spark, words):
+    """More sources than a row of the splitting tree holds."""
+    rnd = random.Random(15)
+    data = [(i, " ".join(rnd.choices(words, k=rnd.randint(0, 12))), f"host{min(4999, i)}") for i in range(9000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    got = check_mix(df, 32)
+    shards = defaultdict(int)
+    for r in got:
+        for c in r.copies:
+            shards[c.shard] += 1
+    assert set(shards) == set(range(32))
+    few = [r for r in got if r.source != "host4999"]
+    mean = sum(len(r.copies) for r in few) / 32
+    assert all(abs(sum(c.shard == k for r in few for c in r.copies) - mean) < 6 * mean**0.5 for k in range(32))
+
+
+def test_mix_splits_like_a_random_deal(spark):
+    """The tree's counts have the mean and the spread of a hypergeometric deal."""
+    from gridloom.llm.common import Scratch
+    from gridloom.llm.mixing import _split
+
+    plan = spark.createDataFrame([(i + 1, 40) for i in range(300)], "rank long, quota long")
+    got = defaultdict(int, {(r.rank, r.shard): r.q for r in _split(plan, 300, 16, Scratch(spark, "t")).collect()})
+    counts = np.array([[got[i + 1, k] for k in range(16)] for i in range(300)])
+    assert (counts.sum(1) == 40).all() and (counts.sum(0) == 750).all()
+    want = 750 * (40 / 12000) * (1 - 40 / 12000) * (12000 - 750) / (12000 - 1)
+    assert 0.9 * want < counts.var() < 1.1 * want
 
 
 def test_mix_empty(no_docs):
