@@ -38,12 +38,19 @@ class Scratch:
 
     def keep(self, df: DataFrame, small: bool = False) -> DataFrame:
         """small: adaptive execution may join as many partitions as it likes; else even a few rows make a file for every core."""
-        path = f"{self.root}/{len(self.made)}"
+        return self._write(df, str(len(self.made)), "error", small)
+
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        """The named table with these rows, too."""
+        return self._write(df, name, "append", False)
+
+    def _write(self, df: DataFrame, name: str, mode: str, small: bool) -> DataFrame:
+        path = f"{self.root}/{name}"
         cores = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
         before = self.spark.conf.get(cores)
         try:
             self.spark.conf.set(cores, str(not small and before == "true").lower())
-            df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+            df.write.mode(mode).option("parquet.block.size", ROW_GROUP).parquet(path)
         finally:
             self.spark.conf.set(cores, before)
         if not self.made:

@@ -15,7 +15,7 @@ def vectors(spark, n=700, copies=150, seed=0, dim=16):
     x = rng.standard_normal((n, dim)).astype(np.float32)
     x[rng.choice(n, copies, replace=False)] = x[0]
     rows = [(i, [float(v) for v in x[i]], 1, 0.0, 7) for i in range(n)]
-    odd = [(None, rows[0][1]), (1000, None), (1020, [*rows[0][1][:-1], float("nan")]), (1040, [*rows[0][1][:-1], float("inf")]), (1060, [None, *rows[0][1][1:]]), (1100, []), (1120, [1.0, 2.0])]
+    odd = [(None, rows[0][1]), (1000, None), (1020, [*rows[0][1][:-1], float("nan")]), (1040, [*rows[0][1][:-1], float("inf")]), (1060, [None, *rows[0][1][1:]]), (1100, [])]
     return x.astype(float), spark.createDataFrame(rows + [(i, v, None, None, None) for i, v in odd], SCHEMA)
 
 
@@ -33,19 +33,57 @@ def test_top_k(spark):
     assert got == {i: brute(q @ q[i], np.arange(700), i, 10) for i in range(0, 700, 50)}
 
 
-def test_top_k_refines_and_blocks(spark, monkeypatch):
-    import gridloom.llm.topk as topk
-
-    monkeypatch.setattr(topk, "BINS", 4)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+def test_top_k_refines_and_blocks(spark):
     x, df = vectors(spark, 200, 60, 5)
     q = np.floor(1024 * x).astype(np.int64)
     got = {}
-    for r in exact_top_k(df, every=20, k=7).orderBy("query_id", "rank").collect():
+    for r in exact_top_k(df, every=20, k=7, block_bytes=3 * 8 * 16, counts=12).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == {i: brute(q @ q[i], np.arange(200), i, 7) for i in range(0, 200, 20)}
 
 
+def test_top_k_of_extreme_components(spark):
+    """Components whose thousandfold is no double, scores beyond 64 bits, ties there, and vectors of several lengths."""
+    big = 1.7e308
+    rows = [(0, [big, 1.0]), (1, [big, 2.0]), (2, [-big, 1.0]), (3, [1.0, 1.0]), (4, [big, big]), (5, [0.25, -3.0]), (100, [1.0, 0.5]), (200, [2.0]), (201, [3.0]), (202, [-4.0]), (300, []), (301, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    most = int(np.finfo(np.float64).max)
+
+    def whole(x):
+        y = 1024.0 * x
+        return int(np.sign(y)) * most if np.isinf(y) else int(np.floor(y))
+
+    want = {}
+    for i, v in rows:
+        if i % 100 == 0:
+            s = sorted((-max(-(2**63), min(2**63 - 1, sum(whole(a) * whole(b) for a, b in zip(v, w)))), j) for j, w in rows if j != i and len(w) == len(v))
+            want[i] = [(j, -x) for x, j in s][:3]
+    got = {}
+    for r in exact_top_k(df, every=100, k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == want
+
+
+def test_nearest_of_several_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0]), (3, [0.0, 0.0]), (20, [2.0]), (21, [-1.0]), (40, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest(df, every=20, k=3).collect())
+    assert got == [(0, 1, 1, 0.5), (20, 1, 2, 2.0), (20, 2, 21, -2.0)]
+
+
+def test_nearest_recall_on_the_table(spark):
+    """Against brute force, on all queries of the 64-dimensional table."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    t = df.select("vec_id", "embedding").toPandas()
+    ids, x = t["vec_id"].to_numpy(), np.stack(t["embedding"]).astype(float)
+    got = {}
+    for r in nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    queries = np.flatnonzero(ids % 20 == 0)
+    hit = sum(len(got[ids[i]] & {a for a, _ in brute(x @ x[i], ids, ids[i], 20)}) for i in queries)
+    assert hit >= 0.9 * 20 * len(queries)
+
+
 def test_few_or_no_rows(spark):
     for search in (exact_top_k, nearest):
         assert search(spark.createDataFrame([], SCHEMA)).collect() == []
