@@ -42,20 +42,38 @@ def _entropy(chars, symbols: str, width: int):
     size = len(symbols)
     lookup = F.lit(symbols)
 
+    def let(x, f):
+        return F.element_at(F.transform(F.array(x), f), 1)
+
+    def place(i):
+        return F.call_function("locate", F.element_at(chars, i), lookup)
+
+    # The counts are a string, a character for each symbol, of which a step changes two at most.
+    def count(counts, at):
+        return F.ascii(F.substr(counts, at, F.lit(1))) - 48
+
+    def put(counts, at, n):
+        return F.overlay(counts, F.char(n + 48), at, F.lit(1))
+
     def step(a, i):
-        came = F.call_function("locate", F.element_at(chars, i), lookup)
-        went = F.when(i > width, F.call_function("locate", F.element_at(chars, F.greatest(i - width, F.lit(1))), lookup)).otherwise(F.lit(0))
-        # The counts after the character that leaves is taken out, then with the new one.
-        old = F.when(went > 0, F.element_at(a["counts"], F.greatest(went, F.lit(1)))).otherwise(F.lit(0))
-        left = F.when(went > 0, a["sum"] - term(old) + term(old - 1)).otherwise(a["sum"])
-        now = F.when(came > 0, F.element_at(a["counts"], F.greatest(came, F.lit(1)))).otherwise(F.lit(0)) - F.when((came > 0) & (came == went), 1).otherwise(0)
-        total = F.when(came > 0, left - term(now) + term(now + 1)).otherwise(left)
-        n = a["n"] + F.when(came > 0, 1).otherwise(0) - F.when(went > 0, 1).otherwise(0)
-        counts = F.transform(a["counts"], lambda c, j: c + F.when(j + 1 == came, 1).otherwise(0) - F.when(j + 1 == went, 1).otherwise(0))
-        best = F.greatest(a["best"], F.when(n == width, F.log2(F.lit(float(width))) - total / width).otherwise(F.lit(-1.0)))
-        return F.struct(counts.alias("counts"), total.alias("sum"), n.alias("n"), best.alias("best"))
-
-    start = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(-1.0).alias("best"))
+        came = place(i)
+        went = F.when(i > width, place(F.greatest(i - width, F.lit(1)))).otherwise(F.lit(0))
+
+        def left(x):
+            # The character that leaves is taken out, then the new one comes in.
+            old = count(a["counts"], x["went"])
+            return F.struct(x["came"].alias("came"), F.when(x["went"] > 0, put(a["counts"], x["went"], old - 1)).otherwise(a["counts"]).alias("counts"),
+                F.when(x["went"] > 0, a["sum"] - term(old) + term(old - 1)).otherwise(a["sum"]).alias("sum"), (a["n"] - F.when(x["went"] > 0, 1).otherwise(0)).alias("n"))
+
+        def entered(x):
+            now, n = count(x["counts"], x["came"]), x["n"] + F.when(x["came"] > 0, 1).otherwise(0)
+            total = F.when(x["came"] > 0, x["sum"] - term(now) + term(now + 1)).otherwise(x["sum"])
+            best = F.greatest(a["best"], F.when(n == width, F.log2(F.lit(float(width))) - total / width).otherwise(F.lit(-1.0)))
+            return F.struct(F.when(x["came"] > 0, put(x["counts"], x["came"], now + 1)).otherwise(x["counts"]).alias("counts"), total.alias("sum"), n.alias("n"), best.alias("best"))
+
+        return let(let(F.struct(came.alias("came"), went.alias("went")), left), entered)
+
+    start = F.struct(F.repeat(F.lit("0"), F.lit(size)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(-1.0).alias("best"))
     return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, step, lambda a: a["best"])
 
 
@@ -70,10 +88,24 @@ def _suspicious(h):
     return F.when(h.rlike("[0-9]") & h.rlike("[A-Za-z]") & plain, best).otherwise(F.lit(False))
 
 
+RUN = 256  # matches whose places are found one after the other: lists grow by copying
+
+
 def _with_spans(df: DataFrame, name: str, kind: int, pattern: str, accept) -> DataFrame:
-    """Adds a column of the accepted matches' spans: what lies between matches gives their places."""
+    """Adds a column of the accepted matches' spans: what lies between matches gives their places, run by run of matches."""
     df = df.withColumn("__hits", F.when(F.col("text").rlike(pattern), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
     df = df.withColumn("__gaps", F.when(F.col("__hits").isNotNull(), F.split("text", pattern, -1)))
+    n, runs = F.size("__hits"), F.sequence(F.lit(0), F.floor((F.size("__hits") - 1) / RUN).cast("int"))
+
+    def of(r):
+        return F.sequence(r * RUN + 1, F.least((r + 1) * RUN, n))
+
+    def length(i):
+        return (F.length(F.element_at(F.col("__gaps"), i)) + F.length(F.element_at(F.col("__hits"), i))).cast("long")
+
+    def begins(a, r):
+        size = F.aggregate(of(r), F.lit(0).cast("long"), lambda x, i: x + length(i))
+        return F.struct((a["at"] + size).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
 
     def step(a, i):
         h = F.element_at(F.col("__hits"), i)
@@ -82,9 +114,15 @@ def _with_spans(df: DataFrame, name: str, kind: int, pattern: str, accept) -> Da
         span = F.struct(start.cast("long").alias("start"), F.lit(kind).alias("kind"), end.cast("long").alias("end"))
         return F.struct(end.cast("long").alias("at"), F.when(accept(h), F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
-    spans = F.when(F.size("__hits") > 0, F.aggregate(F.sequence(F.lit(1), F.size("__hits")), start, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
-    return df.withColumn(name, spans).drop("__hits", "__gaps")
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+    df = df.withColumn("__begins", F.when(n > 0, F.aggregate(runs, zero, begins, lambda a: a["out"])))
+
+    def spans(r):
+        start = F.struct(F.element_at(F.col("__begins"), r + 1).alias("at"), F.array().cast(_SPAN).alias("out"))
+        return F.aggregate(of(r), start, step, lambda a: a["out"])
+
+    found = F.when(n > 0, F.flatten(F.transform(runs, spans))).otherwise(F.array().cast(_SPAN))
+    return df.withColumn(name, found).drop("__hits", "__gaps", "__begins")
 
 
 def _joined(spans, kinds: list[str]):

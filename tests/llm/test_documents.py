@@ -167,6 +167,40 @@ def test_entropy_spans(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def entropy_of(x):
+    return -sum(x.count(c) / len(x) * np.log2(x.count(c) / len(x)) for c in set(x))
+
+
+def test_entropy_equals_brute_force(spark):
+    """Added spans: candidates whose best window of either class reaches its threshold, and that nothing allows."""
+    from gridloom.llm.secrets import ALLOW, CANDIDATE, CLASSES
+
+    rnd = random.Random(21)
+    texts = ["".join(rnd.choices(rnd.choice(["0123456789abcdef", "abcXYZ019+/_=-", "abcdefghijklmnopqrstuvwxyzABCDEFG0123456789 "]), k=rnd.randint(10, 90))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in scan(df).collect():
+        want = []
+        for m in re.finditer(CANDIDATE, texts[r.doc_id]):
+            h = m[0]
+            plain = re.search("[0-9]", h) and re.search("[A-Za-z]", h) and not any(re.search(p, h) for p in ALLOW)
+            windows = [(entropy_of(h[i : i + w]), least) for symbols, w, least in CLASSES for i in range(len(h) - w + 1) if set(h[i : i + w]) <= set(symbols)]
+            assert not any(abs(e - least) < 1e-9 for e, least in windows)
+            if plain and any(e >= least for e, least in windows):
+                want.append(m.span())
+        assert [(s.start, s.end) for s in r.entropy] == want
+
+
+def test_secrets_in_a_text_full_of_them(spark):
+    import time
+
+    text = "".join(f"token = k{i:05d}AbCdEfGh\n" for i in range(40_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    (r,) = report(df).collect()
+    assert r.n_assign == 40_000 and r.base_sha256 == sha(",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer("token = k.{13}", text)))
+    assert time.time() - began < 60
+
+
 def test_secrets_empty(no_docs):
     assert report(no_docs).collect() == []
 
