@@ -6,10 +6,13 @@ links.  The node whose children's densities have the largest sum is the main tex
 the body is the threshold for its relatives: a sibling of the path whose own density reaches it, with few links, belongs
 to the text too.
 
-What is no main text by its nature (scripts, menus, headers, footers, sidebars, forms, notices, adverts, comments: by element, role,
-or class and id) is left out first.  Text is kept whole otherwise: references are decoded, white space within a block becomes one
+What is no main text by its nature (scripts, menus, headers, footers, sidebars, forms, notices, adverts, comments) is left
+out: at once where an element, a role or an attribute says so; by class or id, only where a name consists of nothing but
+such words, or where the element's density is low (mostly links, or few characters a tag).  Where the densest subtree lies in an article
+or main element, that whole element is the text.
+Text is kept whole otherwise: references are decoded, white space within a block becomes one
 space, blocks are joined by one space.  Defined cases: null or empty html, or a page without text, gives an empty text; each row gives
-one row; extra columns are ignored.  No recursion: nesting may be of any depth.
+one row; extra columns are ignored.  No recursion: nesting may be of any depth, and time is linear in the page.
 """
 
 from __future__ import annotations
@@ -36,34 +39,57 @@ _P_SCOPE = {"table", "td", "th", "caption", "button", "object", "html"}
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
 _NEVER = set("head script style noscript template title textarea nav header footer aside form button select input iframe object embed svg canvas dialog menu audio video datalist".split())
 _ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar".split())
+THIN = 20  # characters a tag, below which an element with others in it is no prose
 _KEPT = {"html", "body", "article", "main"}  # never left out by class
+#: Words of class and id names that tell what is no main text.
 _NAMES = re.compile(
-    r"(?:^|[-_])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay"
-    r"|newsletter|subscri\w*|signup|login|search|shar(?:e|ing)|social|related|recommend\w*|comments?|commentlist|disqus|respond|repl(?:y|ies)|widget|pager|pagination|toolbar|skip)(?:$|[-_])",
+    r"ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay"
+    r"|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|reply|replies|widget|pager|pagination|toolbar|skip",
     re.I,
 )
+#: Words that may stand beside them and say nothing else.
+_PLAIN = re.compile(r"\d+|area|bar|block|bottom|box|btn|button|container|content|group|head|holder|inner|item|left|link|links|list|main|outer|page|panel|posts?|right|row|section|side|site|slot|thread|title|top|unit|user|wrap|wrapper|x+s|sm|md|lg", re.I)
+_SCOPES = [({"p"}, _P_SCOPE), *_IMPLIED.values()]
+_SCOPE_OF = {name: next(i for i, s in enumerate(_SCOPES) if s is v) for name, v in _IMPLIED.items()}
+_TOUCHED = set().union(*(names | stops for names, stops in _SCOPES))
+
+
+def _named(attributes: dict[str, str]) -> int:
+    """2: a class or id consists of words for what is no main text; 1: one has such a word; 0: none."""
+    found = 0
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = [w for w in re.split(r"[-_]+", name) if w]
+        hits = sum(bool(_NAMES.fullmatch(w)) for w in words) + ("side" in words and "bar" in words)
+        if hits:
+            found = max(found, 2 if all(_NAMES.fullmatch(w) or _PLAIN.fullmatch(w) for w in words) else 1)
+    return found
 
 
 class _Page:
     def __init__(self, html: str):
         self.tag, self.parent, self.out = ["#root"], [-1], [False]
-        self.soft: list[tuple[int, bool]] = []  # to be left out by class or id; whether one is just such a name
+        self.soft: list[tuple[int, int]] = []  # to be left out by class or id, and how surely
         self.pieces: list[tuple[int, str | None]] = []  # text by node; None: a block ends
         self.parse(html)
 
     def parse(self, html: str) -> None:
         stack, at = [0], 0
+        opened: dict[str, list[int]] = {}  # places on the stack by tag
+        # For each place on the stack, the innermost element that each implied end would close there (0: none in scope).
+        inner = [(0,) * len(_SCOPES)]
 
         def close_to(i: int) -> None:
-            del stack[i:]
-
-        def seek(names: set, stops: set) -> None:
-            for i in range(len(stack) - 1, 0, -1):
-                t = self.tag[stack[i]]
-                if t in names:
-                    return close_to(i)
-                if t in stops:
-                    return None
+            for node in stack[i:]:
+                opened[self.tag[node]].pop()
+            del stack[i:], inner[i:]
+
+        def push(node: int, name: str) -> None:
+            opened.setdefault(name, []).append(len(stack))
+            now = inner[-1]
+            if name in _TOUCHED:
+                now = tuple(len(stack) if name in names else 0 if name in stops else old for old, (names, stops) in zip(now, _SCOPES))
+            stack.append(node)
+            inner.append(now)
 
         while True:
             m = _TOKEN.search(html, at)
@@ -80,15 +106,13 @@ class _Page:
             if name in _BLOCK:
                 self.pieces.append((stack[-1], None))
             if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[i]] == name:
-                        close_to(i)
-                        break
+                if opened.get(name):
+                    close_to(opened[name][-1])
                 continue
-            if name in _CLOSES_P:
-                seek({"p"}, _P_SCOPE)
-            if name in _IMPLIED:
-                seek(*_IMPLIED[name])
+            if name in _CLOSES_P and inner[-1][0]:
+                close_to(inner[-1][0])
+            if name in _SCOPE_OF and inner[-1][_SCOPE_OF[name]]:
+                close_to(inner[-1][_SCOPE_OF[name]])
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1])
@@ -96,10 +120,8 @@ class _Page:
             if name in _RAW:
                 end = _RAW_END[name].search(html, at)
                 at = end.end() if end else len(html)
-            elif name not in _VOID and not m[3].endswith("/"):
-                stack.append(node)
-            elif name not in _VOID and name in _BLOCK:
-                stack.append(node)  # "/>" means nothing on elements that aren't void
+            elif name not in _VOID and (name in _BLOCK or not m[3].endswith("/")):  # "/>" means nothing on elements that aren't void
+                push(node, name)
 
     def left_out(self, name: str, attributes: str, node: int) -> bool:
         found = {}
@@ -109,8 +131,8 @@ class _Page:
             return name not in ("html", "body")
         if found.get("role", "").lower() in _ROLES and name not in _KEPT:
             return True
-        if name not in _KEPT and any(_NAMES.search(x) for x in f"{found.get('class', '')} {found.get('id', '')}".split()):
-            self.soft.append((node, any(_NAMES.fullmatch(x) for x in f"{found.get('class', '')} {found.get('id', '')}".split())))
+        if name not in _KEPT and (sure := _named(found)):
+            self.soft.append((node, sure))
         return False
 
     def text(self) -> str:
@@ -119,13 +141,8 @@ class _Page:
         for node, piece in self.pieces:
             if piece is not None:
                 own[node] += len(piece.strip())
-        # Elements left out by name alone stay if they hold the article, or most of the text of a page without one.
-        inside, holds = own[:], [t in ("article", "main") for t in self.tag]
-        for i in range(n - 1, 0, -1):
-            inside[self.parent[i]] += inside[i] if not self.out[i] else 0
-            holds[self.parent[i]] = holds[self.parent[i]] or holds[i]
-        for i, exact in self.soft:
-            self.out[i] = self.out[i] or not holds[i] and (holds[0] or inside[i] <= (0.9 if exact else 0.5) * inside[0])
+        if self.soft:
+            self.leave_out_soft(own)
         for i in range(1, n):
             self.out[i] = self.out[i] or self.out[self.parent[i]]
         # Formatting is no structure: runs within a block count as the block's (or link's) own text.
@@ -167,6 +184,10 @@ class _Page:
         best = max((i for i in range(n) if solid[i] and not self.out[i]), key=lambda i: (total[i], -i))
         while self.tag[best] == "a":
             best = home[self.parent[best]]
+        up = best
+        while up > 0 and self.tag[up] not in ("article", "main"):
+            up = self.parent[up]
+        best = up if up > 0 else best
         path, i = [best], best
         while i != body and self.parent[i] >= 0:
             i = self.parent[i]
@@ -187,6 +208,28 @@ class _Page:
         return " ".join("".join(parts).split())
 
 
+    def leave_out_soft(self, own: list[int]) -> None:
+        """By class and id: what names alone can't tell, density does.
+
+        Elements that hold the article, or most of the text of a page without one, stay whatever their names.
+        """
+        n = len(self.tag)
+        gone = self.out[:]
+        for i in range(1, n):
+            gone[i] = gone[i] or gone[self.parent[i]]
+        chars, tags, links = [0 if g else c for c, g in zip(own, gone)], [1] * n, [0] * n
+        holds = [t in ("article", "main") for t in self.tag]
+        for i in range(n - 1, 0, -1):
+            if self.tag[i] == "a":
+                links[i] = chars[i]
+            p = self.parent[i]
+            chars[p], tags[p], links[p], holds[p] = chars[p] + chars[i], tags[p] + tags[i], links[p] + links[i], holds[p] or holds[i]
+        for i, sure in self.soft:
+            thin = 3 * links[i] >= chars[i] or tags[i] > 1 and chars[i] < THIN * tags[i]
+            if not holds[i] and (sure == 2 or thin) and (holds[0] or chars[i] <= (0.9 if sure == 2 else 0.5) * chars[0]):
+                self.out[i] = True
+
+
 def main_text(html: str | None) -> str:
     return _Page(html).text() if html else ""
 

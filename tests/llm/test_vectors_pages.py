@@ -143,11 +143,15 @@ PAGES = [
     ("<div id=page><div id=content><p>Alpha beta gamma delta, epsilon.<p>Zeta.</div><div id='sidebar-left'><p>Links here and there</div><div class=comments><p>I like it, I like it a lot, more than anything else on this page, really.</div></div>", "Alpha beta gamma delta, epsilon. Zeta."),
     ("<p>" * 3000 + "deep" + "<div>" * 3000 + "er", "deep er"),
     ("<article><p>form<form><p>no</form><p hidden>no<p style='display: none'>no</p><aside>no</aside><p>yes &#x48;&nbsp;i", "form yes H i"),
-    ("<ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table>", None),
+    ("<ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table>", "one two a b c"),
+    ('<article><p class="comment-free">Hello this is text.</p><p>And <a href=x>some</a> more of it, as it goes on.</p><p>More.</article>', "Hello this is text. And some more of it, as it goes on. More."),
+    ('<main><p id="search-results">' + "A long paragraph of plain text, " * 20 + "</p><p>tail</p></main>", "A long paragraph of plain text, " * 20 + "tail"),
+    ('<article><p>' + "The text of the article, sentence by sentence. " * 9 + '</p><p class="ad-slot">Buy now!</p><div id="user-comments">I like it very much indeed, more than all else here.</div><p>End.</article>', "The text of the article, sentence by sentence. " * 9 + "End."),
+    ('<body><div class="share-links-x"><a href=1>one</a> <a href=2>two</a></div><div><p>' + "Words of the page that are its main text. " * 5 + '</p><p>Its end.</p></div></body>', "Words of the page that are its main text. " * 5 + "Its end."),
 ]
 
 
-@pytest.mark.parametrize(("html", "text"), PAGES[:-1])
+@pytest.mark.parametrize(("html", "text"), PAGES)
 def test_main_text(html, text):
     assert main_text(html) == text
 
@@ -159,6 +163,64 @@ def test_pages(spark):
     assert extract(df.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("piece", ["<div></b>", "<span></i></div x>", "<ul><li>", "<table><tr><td>x<p>", "<p><b class=comments>"])
+def test_nesting_takes_linear_time(piece):
+    import time
+
+    began = time.time()
+    main_text(piece * 32_000 + "text")
+    assert time.time() - began < 4
+
+
+def brute_density(html):
+    """Composite density sums of every element of a well-formed page of block elements and links, from the definition."""
+    import math
+    import xml.etree.ElementTree as ET
+
+    root = ET.fromstring(html)
+
+    def counts(e):
+        own = len((e.text or "").strip()) + sum(len((c.tail or "").strip()) for c in e)
+        c, t, lc, lt = own, 0, 0, 0
+        for k in e:
+            a, b, x, y = counts(k)
+            c, t, lc, lt = c + a, t + b + 1, lc + x, lt + y
+        return (c, t, c, lt + 1) if e.tag == "a" else (c, t, lc, lt)
+
+    body = counts(root)
+    ratio = body[2] / max(1, body[0])
+
+    def density(c, t, lc, lt):
+        if not c:
+            return 0.0
+        base = 1 + math.log(c * lc / max(1, c - lc) + ratio * c + math.e)
+        return c / max(1, t) * math.log(math.e - 1 + max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(base)
+
+    def own(e):
+        return len((e.text or "").strip()) + sum(len((c.tail or "").strip()) for c in e)
+
+    return max(root.iter(), key=lambda e: sum(density(*counts(k)) for k in e) + density(own(e), 1, 0, 0))
+
+
+def test_density_equals_brute_force():
+    """The chosen subtree's words are all there, on random pages of nested blocks and links."""
+    import random
+
+    rnd = random.Random(31)
+
+    def block(depth):
+        inner = [f"w{rnd.randrange(10**6)} " * rnd.randint(0, 12)]
+        for _ in range(rnd.randint(0, 4) if depth else 0):
+            inner.append(f"<a> l{rnd.randrange(10**6)} </a>" if rnd.random() < 0.3 else block(depth - 1))
+        return f"<div>{''.join(inner)}</div>"
+
+    for _ in range(150):
+        html = f"<body>{''.join(block(4) for _ in range(3))}</body>"
+        best = brute_density(html)
+        want = " ".join("".join(" " + x + " " for x in best.itertext()).split())
+        assert set(want.split()) <= set(main_text(html).split())
+
+
 def test_generated_pages(spark):
     import re
     from html import unescape
