@@ -4,15 +4,15 @@
    bounded sample of labelled training rows; pattern voters are fixed shapes of text.  Each votes or abstains.
 2. Label model.  A generative model of the votes given the unseen label (class prior, each voter's rate in either
    class) is estimated by EM over the vote patterns of all training rows, started from the labelled sample, which
-   also stays in it as a prior.  The same pass gives the voters' correlations within the toxic class; votes that repeat each
+   also stays in it as a prior.  The last pass gives the voters' correlations within the classes; votes that repeat each
    other are discounted by them.
-3. Classifier.  A logistic regression on word and stem presence is trained on the posterior labels of the sampled rows,
-   where a row's own label is one more vote.
+3. Classifier.  A logistic regression on word and stem presence is trained on the posterior labels of two bounded samples
+   of training rows: unlabelled ones, as surely as their votes tell, and labelled ones, where a row's own label is one more vote.
 4. Every text is scored whole.
 
 Only rows with crc32(doc_id as text) % 5 <> 0 are learned from.  Defined cases: null and empty texts get the
 score of a text without words; a null doc_id is never learned from and not held out; of several labels of a doc_id
-the largest counts; null labels are left out; without labelled rows among the texts every score is 0.
+the largest counts; of rows that agree in doc_id and text a sample has one; null labels are left out; without labelled rows among the texts every score is 0.
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ from .common import Scratch, docs_of, schema, slices
 from .words import LETTERS, U64, flat, span_hashes, word_spans
 
 SAMPLE = 20_000  # labelled training rows that voters are found in and the classifier is fitted on
+UNLABELLED = 20_000  # other training rows that it is fitted on
 FEATURES = 4_096  # words and stems of the classifier
 LEXICON = 188  # lexicon voters, of those features
 STEMS = (4, 5)
+DOUBT = 0.25  # weight of an unlabelled row whose votes are certain, beside a labelled one
 ROUNDS = 8  # of EM
 _PATTERNS = 4
 _CHUNK = 4096
@@ -162,10 +164,12 @@ class LabelModel:
     def posterior(self, votes: np.ndarray, more=0.0) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logit(votes) + more, -30, 30)))
 
-    def correlate(self, rows: float, first: np.ndarray, second: np.ndarray) -> None:
-        """Discounts by correlations among toxic rows: a voter counts 1 / (1 + its correlations with others)."""
-        mean = first / max(rows, 1e-9)
-        cov = second / max(rows, 1e-9) - np.outer(mean, mean)
+    def correlate(self, rows: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+        """Discounts by correlations given the class (pooled), from each class's sums of rows, votes and pairs of votes.
+
+        A voter counts 1 / (1 + its correlations with others).
+        """
+        cov = sum(xx - np.outer(x, x) / max(n, 1e-9) for n, x, xx in zip(rows, first, second)) / max(rows.sum(), 1e-9)
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = np.clip(cov / np.outer(scale, scale), 0, 1)
         np.fill_diagonal(corr, 0)
@@ -181,7 +185,9 @@ def _expect(model: LabelModel, second: bool):
             if len(b):
                 x, w = _unpack(b.column("votes"), model.n), b.column("rows").to_numpy().astype(float)
                 q = model.posterior(x) * w
-                parts = [[q.sum()], q @ x, (x.T @ (q[:, None] * x)).ravel()] if second else [[(w - q).sum(), q.sum()], (w - q) @ x, q @ x]
+                parts = [[(w - q).sum(), q.sum()], (w - q) @ x, q @ x]
+                if second:
+                    parts += [(x.T @ (y[:, None] * x)).ravel() for y in (w - q, q)]
                 sums = np.concatenate(parts)
                 total = sums if total is None else total + sums
         if total is not None:
@@ -195,23 +201,34 @@ def _add(t: pa.Table) -> pa.Table:
     return pa.table([t["k"][:1], pa.array([sum(np.frombuffer(x.as_py()) for x in t["x"]).tobytes()], pa.binary())], names=["k", "x"])
 
 
-def _sums(patterns: DataFrame, model: LabelModel, second: bool = False) -> np.ndarray:
-    size = 1 + model.n + model.n**2 if second else 2 + 2 * model.n
-    kind = schema(k="int", x="binary")
+def _sums(patterns: DataFrame, model: LabelModel, second: bool = False) -> list[np.ndarray]:
+    """Expected sums in each class: rows, votes and, if second, pairs of votes."""
+    n, kind = model.n, schema(k="int", x="binary")
     rows = patterns.mapInArrow(_expect(model, second), kind).groupBy("k").applyInArrow(_add, kind).toArrow().sort_by("k")
-    return np.concatenate([np.zeros(0), *(np.frombuffer(x.as_py()) for x in rows["x"])]) if len(rows) else np.zeros(size)
-
-
-def _fit(rows: np.ndarray, at: np.ndarray, n: int, q: np.ndarray, ridge: float = 0.1, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on presence of features by accelerated full-batch gradient steps."""
-    m = len(q)
-    w, b = np.zeros(n), float(np.log((q.mean() + 1e-4) / (1 - q.mean() + 1e-4)))
-    df = np.bincount(at, minlength=n)
-    step_w, step_b = 1 / (0.25 * np.maximum(df, 1) * 6 + ridge), 1 / (0.25 * m)
+    flat = np.concatenate([np.zeros(0), *(np.frombuffer(x.as_py()) for x in rows["x"])]) if len(rows) else np.zeros(2 + 2 * n + 2 * n * n * second)
+    return [flat[:2], flat[2 : 2 + 2 * n].reshape(2, n), *([flat[2 + 2 * n :].reshape(2, n, n)] if second else [])]
+
+
+def estimate(patterns: DataFrame, model: LabelModel, rounds: int = ROUNDS) -> LabelModel:
+    """EM over the patterns (votes, rows), which are all training rows; its last expectation also gives the correlations."""
+    for k in range(rounds + 1):
+        rows, votes, *pairs = _sums(patterns, model, second=k == rounds)
+        if pairs:
+            model.correlate(rows, votes, *pairs)
+        model.update(rows[:, None], votes)
+    return model
+
+
+def _fit(rows: np.ndarray, at: np.ndarray, n: int, q: np.ndarray, sure: np.ndarray, ridge: float = 0.1, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression on presence of features by accelerated full-batch gradient steps; sure: weights of the rows."""
+    m, mean = len(q), float((q * sure).sum() / max(sure.sum(), 1e-9))
+    w, b = np.zeros(n), float(np.log((mean + 1e-4) / (1 - mean + 1e-4)))
+    df = np.bincount(at, sure[rows], minlength=n)
+    step_w, step_b = 1 / (0.25 * np.maximum(df, 1) * 6 + ridge), 1 / (0.25 * max(sure.sum(), 1.0))
     vw, vb = w.copy(), b
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(vb + np.bincount(rows, vw[at], m), -30, 30)))
-        r = p - q
+        r = (p - q) * sure
         new_w = vw - step_w * (np.bincount(at, r[rows], n) + ridge * vw)
         new_b = vb - step_b * r.sum() * 0.5
         beta = k / (k + 3)
@@ -228,63 +245,72 @@ def _score(known: np.ndarray, w: np.ndarray, bias: float, own: list[str]):
                 data, offs = flat(b.column("text"))
                 rows, at = find(*_features(data, offs))
                 z = bias + np.bincount(rows, w[at], len(b))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=[*own, "score"])
+                score = 1 / (1 + np.exp(-np.clip(z, -50, 50))) if len(known) else np.zeros(len(b))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(score)], names=[*own, "score"])
 
     return run
 
 
-def _learn(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """The classifier's features, their weights and its bias."""
+def _some(rows: DataFrame, most: int) -> DataFrame:
+    """So many rows at most, by hash of doc_id and text; of rows that agree in both one."""
+    h, t = F.xxhash64("doc_id", F.lit(7)), F.xxhash64("text")
+    rows = rows.withColumns({"h": h, "t": t})
+    n = rows.count()
+    if n > 8 * most:  # a share of the hashes, from which the first ones are taken
+        rows = rows.where(F.col("h") <= int(-(2**63) + 2**64 * 4 * most // n))
+    last = rows.select("h", "doc_id", "t").distinct().orderBy("h", "doc_id", "t").limit(most).agg(F.max(F.struct("h", "doc_id", "t"))).first()[0]
+    if last is None:
+        return rows.drop("h", "t")
+    rows = rows.where(F.struct("h", "doc_id", "t") <= F.struct(*[F.lit(x).cast("long") for x in last]))
+    return rows.dropDuplicates(["doc_id", "t"]).drop("h", "t")
+
+
+def _learn(docs: DataFrame, labels: DataFrame, sample: int, unlabelled: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """The classifier's features, their weights and its bias; no features if there is nothing to learn from."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     learn = docs_of(docs, "doc_id", "text").where(fold != 0)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold != 0)
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toArrow()
-    known, w, bias = np.zeros(0, U64), np.zeros(0), -50.0
-    if len(marks):
-        # Its rows are bounded by the sample's documented size.
-        rows = learn.join(F.broadcast(spark.createDataFrame(marks)), "doc_id").select("text", "toxic")
-        n_pos = float(np.sum(marks["toxic"].to_numpy()))
-        n_neg = len(marks) - n_pos
-        counts = rows.mapInArrow(_count, schema(feature="long", pos="long", neg="long")).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 3")
-        a, b, c, d = F.col("pos") + 0.5, F.col("neg") + 0.5, F.lit(n_pos + 0.5) - F.col("pos"), F.lit(n_neg + 0.5) - F.col("neg")
-        total = F.lit(n_pos + n_neg + 2.0)
-
-        def term(x, r, s):
-            return x * F.log(F.greatest(x, F.lit(0.5)) * total / (r * s))
-
-        g = 2 * (term(a, a + b, a + c) + term(b, a + b, b + d) + term(c, c + d, a + c) + term(d, c + d, b + d))
-        found = counts.withColumn("g", g).orderBy(F.desc("g"), "feature").limit(FEATURES).toArrow()
-        known = found["feature"].to_numpy().view(U64)
-        pos, neg = found["pos"].to_numpy(), found["neg"].to_numpy()
-        voters = np.flatnonzero((pos + 0.5) * (n_neg + 1) > 8 * (neg + 0.5) * (n_pos + 1))[:LEXICON]
-        rows = rows.mapInArrow(_vote(known, voters, True), schema(votes="binary", features="binary", toxic="int")).toArrow()
-        if not len(rows):
-            return np.zeros(0, U64), w, bias
-        x, y = _unpack(rows["votes"], len(voters) + _PATTERNS), rows["toxic"].to_numpy().astype(float)
-        model = LabelModel(len(voters) + _PATTERNS, x, y)
-        patterns = scratch.keep(learn.select("text").mapInArrow(_vote(known, voters, False), schema(votes="binary")).groupBy("votes").agg(F.count("*").alias("rows")))
-        n = model.n
-        for _ in range(ROUNDS):
-            s = _sums(patterns, model)
-            model.update(s[:2, None], s[2:].reshape(2, n))
-        s = _sums(patterns, model, second=True)
-        model.correlate(s[0], s[1 : 1 + n], s[1 + n :].reshape(n, n))
-        s = _sums(patterns, model)
-        model.update(s[:2, None], s[2:].reshape(2, n))
-        # A row's own label votes too, as strongly as it agrees with the other votes.
-        agree = np.clip(np.mean((model.posterior(x) > 0.5) == (y > 0.5)), 0.6, 0.99)
-        q = model.posterior(x, (2 * y - 1) * np.log(agree / (1 - agree)))
-        lengths = np.array([len(v.as_py()) // 2 for v in rows["features"]])
-        at = np.frombuffer(b"".join(v.as_py() for v in rows["features"]), "<u2").astype(np.int64)
-        w, bias = _fit(np.repeat(np.arange(len(y)), lengths), at, len(known), q)
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    own = scratch.keep(_some(learn.join(marks, "doc_id"), sample).select("doc_id", "text", "toxic"))
+    n_rows, n_pos = own.agg(F.count("*"), F.sum("toxic")).first()
+    if not n_rows:
+        return np.zeros(0, U64), np.zeros(0), 0.0
+    n_pos, n_neg = float(n_pos), float(n_rows - n_pos)
+    counts = own.mapInArrow(_count, schema(feature="long", pos="long", neg="long")).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 3")
+    a, b, c, d = F.col("pos") + 0.5, F.col("neg") + 0.5, F.lit(n_pos + 0.5) - F.col("pos"), F.lit(n_neg + 0.5) - F.col("neg")
+    total = F.lit(n_pos + n_neg + 2.0)
+
+    def term(x, r, s):
+        return x * F.log(F.greatest(x, F.lit(0.5)) * total / (r * s))
+
+    g = 2 * (term(a, a + b, a + c) + term(b, a + b, b + d) + term(c, c + d, a + c) + term(d, c + d, b + d))
+    found = counts.withColumn("g", g).orderBy(F.desc("g"), "feature").limit(FEATURES).toArrow()
+    known = found["feature"].to_numpy().view(U64)
+    if not len(known):
+        return known, np.zeros(0), 0.0
+    pos, neg = found["pos"].to_numpy(), found["neg"].to_numpy()
+    voters = np.flatnonzero((pos + 0.5) * (n_neg + 1) > 8 * (neg + 0.5) * (n_pos + 1))[:LEXICON]
+    others = _some(learn.join(marks, "doc_id", "left_anti"), unlabelled).select("text", F.lit(-1).alias("toxic"))
+    # Their rows are bounded by the samples' documented sizes.
+    rows = own.select("text", "toxic").union(others).mapInArrow(_vote(known, voters, True), schema(votes="binary", features="binary", toxic="int")).toArrow()
+    x, y = _unpack(rows["votes"], len(voters) + _PATTERNS), rows["toxic"].to_numpy().astype(float)
+    marked = y >= 0
+    patterns = scratch.keep(learn.select("text").mapInArrow(_vote(known, voters, False), schema(votes="binary")).groupBy("votes").agg(F.count("*").alias("rows")))
+    model = estimate(patterns, LabelModel(len(voters) + _PATTERNS, x[marked], y[marked]))
+    # A row's own label votes too, as strongly as it agrees with the other votes.
+    agree = np.clip(np.mean((model.posterior(x[marked]) > 0.5) == (y[marked] > 0.5)), 0.6, 0.99)
+    q = model.posterior(x, np.where(marked, (2 * y - 1) * np.log(agree / (1 - agree)), 0.0))
+    lengths = np.array([len(v.as_py()) // 2 for v in rows["features"]])
+    at = np.frombuffer(b"".join(v.as_py() for v in rows["features"]), "<u2").astype(np.int64)
+    w, bias = _fit(np.repeat(np.arange(len(y)), lengths), at, len(known), q, np.where(marked, 1.0, DOUBT * np.abs(2 * q - 1)))
     return known, w, bias
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, unlabelled: int = UNLABELLED) -> DataFrame:
     """The rows of docs (doc_id, text and more) with a score last (which replaces a column of that name); labels: doc_id, toxic 0 or 1."""
-    known, w, bias = _learn(docs, labels, sample)
+    known, w, bias = _learn(docs, labels, sample, unlabelled)
     rows = docs.drop("score").withColumn("text", F.col("text").cast("string"))
     return rows.mapInArrow(_score(known, w, bias, rows.columns), T.StructType([*rows.schema, T.StructField("score", T.DoubleType())]))
 

@@ -578,5 +578,68 @@ def test_toxicity(spark, words, odd_docs, no_docs):
     assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in got)
     assert toxicity(odd_docs, marks).count() == odd_docs.count() and toxicity(no_docs, marks).collect() == []
     none = marks.where("false")
-    assert {r.predicted for r in toxicity(odd_docs, none).collect()} == {0}
+    assert {(r.score, r.predicted) for r in toxicity(odd_docs, none).collect()} == {(0.0, 0)}
     assert scored(odd_docs, none).columns == [c for c in odd_docs.columns if c != "score"] + ["score"]
+
+
+def test_label_model_equals_brute_force(spark):
+    """EM over packed vote patterns gives what EM over single rows gives, and correlated voters are discounted."""
+    from gridloom.llm.toxicity import LabelModel, estimate
+
+    rng = np.random.default_rng(2)
+    n, m, marked = 11, 3000, 400
+    y = (rng.random(m) < 0.2).astype(float)
+    votes = (rng.random((m, n)) < np.where(y[:, None] > 0, 0.5, 0.05)).astype(float)
+    votes[:, 1] = votes[:, 0]  # one voter twice
+    packed = [(bytes(np.packbits(v.astype(bool)).tobytes()),) for v in votes]
+    patterns = spark.createDataFrame(packed, "votes binary").groupBy("votes").agg(F.count("*").alias("rows")).repartition(3)
+    model = estimate(patterns, LabelModel(n, votes[:marked], y[:marked]), rounds=5)
+
+    seen = np.array([(1 - y[:marked]).sum(), y[:marked].sum()]), np.stack([(1 - y[:marked]) @ votes[:marked], y[:marked] @ votes[:marked]])
+    rows, sums = np.zeros(2), np.zeros((2, n))
+    for k in range(7):
+        rate, prior = (seen[1] + sums + 0.05) / ((seen[0] + rows)[:, None] + 1), (seen[0][1] + rows[1] + 0.5) / ((seen[0] + rows).sum() + 1)
+        if k == 6:
+            break
+        odds = np.log(prior / (1 - prior)) + votes @ np.log(rate[1] / rate[0]) + (1 - votes) @ np.log((1 - rate[1]) / (1 - rate[0]))
+        q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        rows, sums = np.array([(1 - q).sum(), q.sum()]), np.stack([(1 - q) @ votes, q @ votes])
+    assert np.allclose(model.rate, rate) and np.isclose(model.prior, prior)
+    cov = np.zeros((n, n))
+    for w in (1 - q, q):
+        centred = votes - (w @ votes) / w.sum()
+        cov += centred.T @ (w[:, None] * centred) / m
+    corr = np.clip(cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov))), 0, 1) - np.eye(n)
+    assert np.allclose(model.discount, 1 / (1 + np.where(corr < 0.3, 0, corr).sum(1)))
+    assert np.allclose(model.discount[:2], 0.5, atol=0.1) and (model.discount[2:] > 0.9).all()
+
+
+def test_classifier_is_the_optimum():
+    """The fitted weights make the gradient of the weighted logistic loss vanish."""
+    from gridloom.llm.toxicity import _fit
+
+    rng = np.random.default_rng(5)
+    x = rng.random((300, 6)) < 0.3
+    q, sure = 1 / (1 + np.exp(-(3.0 * x[:, 0] - 2.0 * x[:, 1] - 0.5))), rng.random(300)
+    rows, at = np.nonzero(x)
+    w, b = _fit(rows, at, 6, q, sure, ridge=0.1, steps=3000)
+    r = (1 / (1 + np.exp(-(x @ w + b))) - q) * sure
+    assert np.abs(x.T @ r + 0.1 * w).max() < 1e-3 and abs(r.sum()) < 1e-3
+
+
+def test_samples_are_bounded_by_rows(spark):
+    from gridloom.llm.toxicity import _some
+
+    df = spark.createDataFrame([(i % 5, f"text {i // 2}") for i in range(400)], "doc_id long, text string")
+    for most in (7, 100, 10_000):
+        got = [tuple(r) for r in _some(df, most).collect()]
+        assert len(got) == len(set(got)) and len(got) <= most and set(got) <= {(i % 5, f"text {i // 2}") for i in range(400)}
+        assert sorted(got) == sorted(tuple(r) for r in _some(df.repartition(3), most).collect())
+    assert _some(df.where("false"), 5).count() == 0
+
+
+def test_toxicity_of_a_very_long_text(spark, words):
+    docs = [(i, "zorblat " * (i % 2) + "plain words of a text") for i in range(60)] + [(1000, " ".join(words * 2000) + " zorblat")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity(df, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")).collect()}
+    assert got[1000] == 1 and all(got[i] == i % 2 for i in range(60))
