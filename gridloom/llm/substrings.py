@@ -10,8 +10,9 @@ The suffixes are sorted blockwise, as in difference-cover suffix sorting, to the
    none); they are dealt into buckets by their LENGTH-byte key and each bucket is sorted by itself.  Equal neighbours are repeats.
 
 Buckets hold some million keys each, whatever the input, and a text's equal keys are merged before they are dealt, so no string is
-too frequent.  Keys are 64-bit hashes of the bytes (their low 56 bits and the bucket, a stretch of the range, are sent): what a comparison of ranks would decide for
-ties is decided by the key, and two different strings would be taken as equal with a chance of some 2^-60 a pair.
+too frequent.  A key has two hashes of the bytes: one tells the bucket (a stretch of its range), 64 bits of the other are sent; what a comparison of ranks would decide for
+ties is decided by both, and two different strings or texts would be taken as equal with a chance of one in 2^64 buckets a pair: the buckets grow with the
+input, so that of 10^13 candidates some one pair may be.  (Samples have 40 bits and the bucket: a chance hit makes work, not an error.)
 
 Buckets answer with a bit for each key, and a missing answer or one of another number of keys is an error.  Texts are read once, packed in
 numbered batches and written to the scratch folder; every pass reads these, so a batch has the same rows in all of them, however
@@ -30,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, docs_of, parts_for, schema, slice_bytes, slices
-from .words import _BYTE, U64, _power, flat, mix64, span_hashes
+from .common import Scratch, blobs, by_part, docs_of, part_of, parts_for, schema, slice_bytes, slices, unblob
+from .words import _BYTE, _MUL, U64, _power, flat, mix64, span_hashes
 
 LENGTH = 200
 # A perfect difference set modulo 91.
@@ -41,11 +42,14 @@ LEVEL = 6  # of zstd: packed texts are written once and shuffled twice
 _CHUNK = 1 << 20
 _DEALT = schema(batch="long", stage="int", part="int", keys="binary", many="binary")
 _ANSWER = schema(batch="long", stage="int", part="int", n="long", bits="binary", first="binary")
-WIDTH = {0: 8, 1: 5, 2: 7}  # bytes sent of the keys of texts, samples and suffixes
+WIDTH = {0: 8, 1: 5, 2: 8}  # bytes sent of the keys of texts, samples and suffixes
 _PACKED = schema(batch="long", ids="binary", offsets="binary", data="binary")
 
 
-def window_hashes(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+_OTHER = mix64(_BYTE + _MUL[60])
+
+
+def window_hashes(data: np.ndarray, start: np.ndarray, length: int, table: np.ndarray = _BYTE) -> np.ndarray:
     """64-bit hashes of the strings of this length at ascending positions, a bounded stretch of the bytes at a time."""
     out, i = np.empty(len(start), U64), 0
     while i < len(start):
@@ -53,7 +57,7 @@ def window_hashes(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarra
         a, b = int(start[i]), int(start[j - 1]) + length
         up, down = _power(b - a + 1)
         sums = np.zeros(b - a + 1, U64)
-        np.cumsum(_BYTE[data[a:b]] * up[: b - a], out=sums[1:])
+        np.cumsum(table[data[a:b]] * up[: b - a], out=sums[1:])
         s = start[i:j] - a
         out[i:j] = mix64((sums[s + length] - sums[s]) * down[s])
         i = j
@@ -88,33 +92,32 @@ def in_reach(offs: np.ndarray, at: np.ndarray, repeated: np.ndarray, length: int
     return np.flatnonzero(np.cumsum(steps[:total]) > 0)
 
 
-def _parted(keys: np.ndarray, parts: int):
-    """The order of the keys, each key's place among the distinct ones, these (ascending), and the edges of parts among them: equal stretches of the 64-bit range."""
+def _parted(keys: np.ndarray, parts: int, sent: np.ndarray | None = None):
+    """The order of the keys, each key's place among the distinct ones, and of these: the first in that order, the parts (ascending) and their edges."""
     order = np.argsort(keys)
     k = keys[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
+    if sent is not None:
+        new[1:] |= sent[order[1:]] != sent[order[:-1]]
     place = np.empty(len(k), np.int64)
     place[order] = np.cumsum(new) - 1
-    bounds = np.array([-(-(p << 64) // parts) for p in range(1, parts)], U64)
-    distinct = k[new]
-    edges = np.concatenate([[0], np.searchsorted(distinct, bounds), [len(distinct)]])
-    return order, place, distinct, edges, np.flatnonzero(new)
+    first = np.flatnonzero(new)
+    part = part_of(k[first], parts)
+    own = np.unique(part)
+    return order, place, first, own, np.append(np.searchsorted(part, own), len(part))
 
 
-def _deal(batch: int, stage: int, keys: np.ndarray, parts: int, more: np.ndarray | None = None) -> pa.RecordBatch:
-    """more: keys known to be repeated elsewhere."""
-    order, _, distinct, edges, first = _parted(keys, parts)
+def _deal(batch: int, stage: int, keys: np.ndarray, parts: int, sent: np.ndarray | None = None, more: np.ndarray | None = None) -> pa.RecordBatch:
+    """keys tell the bucket, and are sent where sent isn't given; more: keys known to be repeated elsewhere."""
+    order, _, first, own, edges = _parted(keys, parts, sent)
     many = np.diff(np.append(first, len(keys))) > 1
     if more is not None and len(keys):
         many |= np.logical_or.reduceat(more[order], first)
-    own = [p for p in range(parts) if edges[p + 1] > edges[p]]
-    raw = distinct.view(np.uint8).reshape(-1, 8)[:, : WIDTH[stage]]
+    raw = (keys if sent is None else sent)[order[first]].view(np.uint8).reshape(-1, 8)[:, : WIDTH[stage]]
     n = len(own)
-    return pa.RecordBatch.from_arrays([
-        pa.array([batch] * n, pa.int64()), pa.array([stage] * n, pa.int32()), pa.array(own, pa.int32()),
-        pa.array([raw[edges[p] : edges[p + 1]].tobytes() for p in own], pa.binary()), pa.array([np.packbits(many[edges[p] : edges[p + 1]]).tobytes() for p in own], pa.binary()),
-    ], names=_DEALT.names)
+    bits = pa.array([np.packbits(many[a:b]).tobytes() for a, b in zip(edges, edges[1:])], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([batch] * n, pa.int64()), pa.array([stage] * n, pa.int32()), pa.array(own.astype(np.int32)), blobs(raw, edges), bits], names=_DEALT.names)
 
 
 def _numbered(batches, most: int):
@@ -125,10 +128,10 @@ def _numbered(batches, most: int):
             i += 1
 
 
-def _texts(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows whose texts have the full length at least, and 64-bit hashes of these texts."""
+def _texts(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows whose texts have the full length at least, and two 64-bit hashes of these texts."""
     rows = np.flatnonzero(np.diff(offs) >= length)
-    return rows, span_hashes(data, offs[:-1][rows], offs[1:][rows], lower=False)
+    return rows, *(span_hashes(data, offs[:-1][rows], offs[1:][rows], lower=False, salt=k) for k in (0, 2))
 
 
 def _sampled(parts: int, length: int):
@@ -139,8 +142,8 @@ def _sampled(parts: int, length: int):
                 data, offs = _opened(packed)
                 keys = window_hashes(data, samples(offs, length), length - V + 1)
                 if len(keys):
-                    batch = packed["batch"][0].as_py()
-                    yield _deal(batch, 0, _texts(data, offs, length)[1], parts)
+                    batch, texts = packed["batch"][0].as_py(), _texts(data, offs, length)
+                    yield _deal(batch, 0, texts[1], parts, texts[2])
                     yield _deal(batch, 1, keys, parts)
 
     return run
@@ -157,20 +160,17 @@ def _pack(parts: int):
     return run
 
 
-def _sorted_bucket(t: pa.Table) -> pa.Table:
+def _sorted_bucket(batches):
     """One bucket: which of its keys occur more than once (bits), and which rows hold a key for the first time (first)."""
-    out = {"n": [0] * len(t), "bits": [None] * len(t), "first": [None] * len(t)}
-    stages = np.array(t["stage"])
+    whole = pa.Table.from_batches(batches)
+    stages = whole["stage"].to_numpy()
     for stage in np.unique(stages):
-        rows, keys, many = np.flatnonzero(stages == stage), [], []
-        for i in rows:
-            raw = np.frombuffer(t["keys"][i].as_buffer(), np.uint8).reshape(-1, WIDTH[stage])
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, : WIDTH[stage]] = raw
-            keys.append(wide.view("<u8").ravel())
-            many.append(np.unpackbits(np.frombuffer(t["many"][i].as_buffer(), np.uint8), count=len(raw)).astype(bool))
-        edges = np.cumsum([0] + [len(k) for k in keys])
-        keys, again = np.concatenate(keys), np.concatenate(many)
+        t = whole.filter(pa.array(stages == stage))
+        raw, edges = unblob(t["keys"], np.uint8)
+        wide = np.zeros((len(raw) // WIDTH[stage], 8), np.uint8)
+        wide[:, : WIDTH[stage]] = raw.reshape(-1, WIDTH[stage])
+        keys, edges = wide.view("<u8").ravel(), edges // WIDTH[stage]
+        again = np.concatenate([np.unpackbits(np.frombuffer(m.as_buffer(), np.uint8), count=n) for m, n in zip(t["many"], np.diff(edges))]).astype(bool)
         order = np.argsort(keys)
         k = keys[order]
         same = k[1:] == k[:-1]
@@ -181,25 +181,23 @@ def _sorted_bucket(t: pa.Table) -> pa.Table:
         # A repeated text is dealt on by one batch alone, any of those that hold it.
         leads = np.zeros(len(k), bool)
         leads[order[np.concatenate([[True], ~same])]] = True
-        for i, a, b in zip(rows, edges, edges[1:]):
-            out["n"][i] = int(b - a)
-            out["bits"][i] = np.packbits(again[a:b]).tobytes()
-            out["first"][i] = np.packbits(leads[a:b]).tobytes() if stage == 0 else None
-    return pa.table([t["batch"], t["stage"], t["part"], pa.array(out["n"], pa.int64()), pa.array(out["bits"], pa.binary()), pa.array(out["first"], pa.binary())], names=_ANSWER.names)
+        bits, first = (pa.array([np.packbits(x[a:b]).tobytes() for a, b in zip(edges, edges[1:])], pa.binary()) for x in (again, leads))
+        yield from pa.table([t["batch"], t["stage"], t["part"], pa.array(np.diff(edges)), bits, first if stage == 0 else pa.nulls(len(t), pa.binary())], names=_ANSWER.names).to_batches()
 
 
-def _answered(keys: np.ndarray, parts: int, answers: pa.Table, stage: int, column: str = "bits") -> np.ndarray:
+def _answered(keys: np.ndarray, parts: int, answers: pa.Table, stage: int, sent: np.ndarray | None = None, column: str = "bits") -> np.ndarray:
     """For each key, in its own order, the bit of its answer; every part with keys must have answered once, for as many keys."""
-    _, place, distinct, edges, _ = _parted(keys, parts)
-    out, asked = np.zeros(len(distinct), bool), np.diff(edges)
-    told = np.zeros(parts, np.int64)
+    _, place, distinct, own, edges = _parted(keys, parts, sent)
+    out, at, told = np.zeros(len(distinct), bool), dict(zip(own.tolist(), range(len(own)))), 0
     for s, p, n, bits in zip(answers["stage"].to_pylist(), answers["part"].to_pylist(), answers["n"].to_pylist(), answers[column]):
         if s == stage:
-            told[p] += n
-            if told[p] == asked[p]:
-                out[edges[p] : edges[p + 1]] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=n).astype(bool)
-    if (told != asked).any():
-        raise ValueError(f"answers of stage {stage} are for {told.sum()} keys, {len(distinct)} were asked: the batch has changed")
+            i = at.pop(p, None)
+            if i is None or n != edges[i + 1] - edges[i]:
+                raise ValueError(f"an answer of stage {stage} is for {n} keys of part {p}, others were asked: the batch has changed")
+            out[edges[i] : edges[i + 1]] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=n).astype(bool)
+            told += n
+    if told != len(distinct):
+        raise ValueError(f"answers of stage {stage} are for {told} keys, {len(distinct)} were asked: the batch has changed")
     return out[place]
 
 
@@ -215,28 +213,28 @@ def _candidates(packed: pa.Table, answers: pa.Table, parts: int, length: int):
     A text that repeats as a whole is known to go; of its copies one alone deals its suffixes, for others that hold parts of it.
     """
     data, offs = _opened(packed)
-    rows, texts = _texts(data, offs, length)
+    rows, texts, other = _texts(data, offs, length)
     whole, leaves = np.zeros(len(offs) - 1, bool), np.zeros(len(offs) - 1, bool)
     if len(rows):
-        whole[rows] = _answered(texts, parts, answers, 0)
+        whole[rows] = _answered(texts, parts, answers, 0, other)
         here = np.zeros(len(rows), bool)
-        here[np.unique(texts, return_index=True)[1]] = True
-        leaves[rows] = whole[rows] & ~(here & _answered(texts, parts, answers, 0, "first"))
+        here[np.unique(np.stack([texts, other]), axis=1, return_index=True)[1]] = True
+        leaves[rows] = whole[rows] & ~(here & _answered(texts, parts, answers, 0, other, "first"))
     at = samples(offs, length)
     if not len(at):
-        return data, offs, whole, at, np.zeros(0, U64)
+        return data, offs, whole, at, np.zeros(0, U64), np.zeros(0, U64)
     repeated = _answered(window_hashes(data, at, length - V + 1), parts, answers, 1)
     repeated &= ~leaves[np.searchsorted(offs, at, "right") - 1]
     start = in_reach(offs, at, repeated, length)
-    return data, offs, whole, start, window_hashes(data, start, length)
+    return data, offs, whole, start, window_hashes(data, start, length), window_hashes(data, start, length, _OTHER)
 
 
 def _suffixes(parts: int, length: int):
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(packed) or not len(answers):
             return pa.Table.from_batches([_deal(0, 2, np.zeros(0, U64), parts)])
-        _, offs, whole, start, keys = _candidates(packed, answers, parts, length)
-        return pa.Table.from_batches([_deal(packed["batch"][0].as_py(), 2, keys, parts, whole[np.searchsorted(offs, start, "right") - 1])])
+        _, offs, whole, start, keys, sent = _candidates(packed, answers, parts, length)
+        return pa.Table.from_batches([_deal(packed["batch"][0].as_py(), 2, keys, parts, sent, whole[np.searchsorted(offs, start, "right") - 1])])
 
     return run
 
@@ -246,8 +244,8 @@ _OUT = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256"
 
 def _removed(parts: int, length: int, want: list[str]):
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
-        data, offs, whole, start, keys = _candidates(packed, answers, parts, length)
-        start = start[_answered(keys, parts, answers, 2)] if len(start) else start
+        data, offs, whole, start, keys, sent = _candidates(packed, answers, parts, length)
+        start = start[_answered(keys, parts, answers, 2, sent)] if len(start) else start
         n = len(data)
         steps = np.bincount(start, minlength=n + 1) - np.bincount(start + length, minlength=n + 1)
         gone = np.cumsum(steps[:n]) > 0
@@ -281,7 +279,7 @@ def dedup_substrings(docs: DataFrame, columns: tuple[str, ...] = ("n_bytes", "n_
     parts = parts_for(total * len(COVER) // V)
 
     def bucketed(dealt) -> DataFrame:
-        out = scratch.keep(dealt().repartition(parts, "part").groupBy("part").applyInArrow(_sorted_bucket, _ANSWER))
+        out = scratch.keep(by_part(dealt(), parts, _sorted_bucket, _ANSWER))
         gc.collect()
         spark._jvm.System.gc()  # lets Spark drop the shuffle files of what is now written
         return out
