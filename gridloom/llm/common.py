@@ -45,14 +45,18 @@ class Scratch:
         return self._write(df, name, "append", False)
 
     def _write(self, df: DataFrame, name: str, mode: str, small: bool) -> DataFrame:
-        path = f"{self.root}/{name}"
+        path, conf = f"{self.root}/{name}", self.spark.conf
         cores = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
-        before = self.spark.conf.get(cores)
+        # What is written needs its shuffle files no more: they go at once, not when the driver happens to collect its garbage.
+        settings = {cores: "false" if small else conf.get(cores), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+        before = {k: conf.get(k) for k in settings}
         try:
-            self.spark.conf.set(cores, str(not small and before == "true").lower())
+            for k, v in settings.items():
+                conf.set(k, v)
             df.write.mode(mode).option("parquet.block.size", ROW_GROUP).parquet(path)
         finally:
-            self.spark.conf.set(cores, before)
+            for k, v in before.items():
+                conf.set(k, v)
         if not self.made:
             root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
             root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)

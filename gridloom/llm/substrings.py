@@ -22,7 +22,6 @@ texts even if they share a doc_id; texts under LENGTH bytes lose nothing; extra
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -272,21 +271,17 @@ def dedup_substrings(docs: DataFrame, columns: tuple[str, ...] = ("n_bytes", "n_
     """doc_id and the wanted of n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 for every row; stable is without effect, as texts are read once."""
     if length < V + 8:
         raise ValueError(f"strings must have {V + 8} bytes at least")
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "substrings")
+    scratch = Scratch(docs.sparkSession, "substrings")
     docs = docs_of(docs, "doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = parts_for(total * len(COVER) // V)
 
-    def bucketed(dealt) -> DataFrame:
-        out = scratch.keep(by_part(dealt(), parts, _sorted_bucket, _ANSWER))
-        gc.collect()
-        spark._jvm.System.gc()  # lets Spark drop the shuffle files of what is now written
-        return out
+    def bucketed(dealt: DataFrame) -> DataFrame:
+        return scratch.keep(by_part(dealt, parts, _sorted_bucket, _ANSWER))
 
     packed = scratch.keep(docs.mapInArrow(_pack(parts), _PACKED))
-    first = bucketed(lambda: packed.mapInArrow(_sampled(parts, length), _DEALT))
-    second = bucketed(lambda: packed.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_suffixes(parts, length), _DEALT))
+    first = bucketed(packed.mapInArrow(_sampled(parts, length), _DEALT))
+    second = bucketed(packed.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_suffixes(parts, length), _DEALT))
     answers = first.union(second)
     out = schema(doc_id="long", **{c: _OUT[c] for c in columns})
     return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_removed(parts, length, list(columns)), out)
