@@ -5,6 +5,7 @@ Comparisons follow Spark: NaN equals itself and is larger than any number; scans
 
 from __future__ import annotations
 
+import json
 from decimal import Decimal
 
 import numpy as np
@@ -51,8 +52,8 @@ def column_of(test: tuple) -> str:
 
 
 def translate(f) -> tuple | None:
-    """A pushed filter as a plain tuple: (operation, column, value); None if it isn't understood."""
-    kind = type(f).__name__
+    """A filter of Spark's data sources as a plain tuple: (operation, column, value); None if it isn't understood."""
+    kind = f.kind
     if kind == "Not":
         inner = translate(f.child)
         return None if inner is None else ("not", inner)
@@ -72,6 +73,28 @@ def translate(f) -> tuple | None:
     return (text[kind], name, f.value) if kind in text else None
 
 
+def pack(tests: list[tuple]) -> str:
+    """Tests as a text, for an option of a scan."""
+    def plain(x):
+        if isinstance(x, float):
+            return {"float": x.hex()}
+        return {"decimal": str(x)} if isinstance(x, Decimal) else [plain(y) for y in x] if isinstance(x, (list, tuple)) else x
+
+    return json.dumps([plain(t) for t in tests])
+
+
+def unpack(text: str) -> list[tuple]:
+    def value(x):
+        if isinstance(x, dict):
+            return float.fromhex(x["float"]) if "float" in x else Decimal(x["decimal"])
+        return [value(y) for y in x] if isinstance(x, list) else x
+
+    def test(x):
+        return ("not", test(x[1])) if x[0] == "not" else tuple(value(y) for y in x)
+
+    return [test(x) for x in json.loads(text or "[]")]
+
+
 def passes(tests: list[tuple], columns: dict[str, np.ndarray]) -> bool:
     """Whether some row passes all tests."""
     held = None

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from gridloom.errors import GridError
+from gridloom.plans.pruning import prune
 from gridloom.sources.datasource import ZarrSource, check_declared, chosen
 from gridloom.sources.stores import open_store
 
@@ -35,15 +36,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def register(spark: SparkSession) -> SparkSession:
-    """Makes the format "zarr" known to a session and lets filters reach it."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Makes the format "zarr" known to a session."""
     spark.dataSource.register(ZarrSource)
     return spark
 
 
 def read_zarr(spark: SparkSession, path: str, columns: list[str] | None = None, schema: StructType | str | None = None, partitions: int | None = None, kind: str = "zarr", **options: str) -> DataFrame:
-    """A store as a DataFrame. The columns fix the table's grid: coordinates alone make their product, or with one its values."""
-    reader = register(spark).read.format("zarr").options(kind=kind, numPartitions=partitions or spark.sparkContext.defaultParallelism, **options)
+    """A store as a DataFrame. The columns fix the table's grid: coordinates alone make their product, or with one its values.
+
+    Pass what is made of it through prune(), which sql() does by itself: then only the columns and chunks that are used are read.
+    """
+    reader = register(spark).read.format("zarr").options(kind=kind, minPartitions=spark.sparkContext.defaultParallelism, **options)
+    if partitions:
+        reader = reader.option("numPartitions", partitions)
     if columns:
         reader = reader.option("columns", ",".join(columns))
     if schema is not None:
@@ -68,10 +73,10 @@ def register_icechunk(spark: SparkSession, name: str, path: str, **options) -> D
 
 
 def sql(spark: SparkSession, text: str) -> DataFrame:
-    """spark.sql, and CREATE EXTERNAL TABLE … STORED AS ZARR_STORE | ICECHUNK_REPO LOCATION '…', which makes a temporary view."""
+    """spark.sql with pruned scans, and CREATE EXTERNAL TABLE … STORED AS ZARR_STORE | ICECHUNK_REPO LOCATION '…', which makes a temporary view."""
     m = _DDL.match(text)
     if not m:
-        return spark.sql(text)
+        return prune(spark.sql(text))
     there, name, fields, kind, options, path, more = m.groups()
     if kind.upper() not in _KINDS:
         raise GridError(f"tables can't be stored as {kind}; known are {', '.join(_KINDS)}")

@@ -1,7 +1,9 @@
 """The Spark data source "zarr": a store of arrays as a table.
 
-Options: path; columns (names, joined by commas: which arrays make the table; default all); numPartitions; kind (zarr or icechunk);
-batchRows; prune (false: no chunk is skipped). Pushed filters skip chunks, and Spark filters the rows again.
+Options: path; columns (names, joined by commas: which arrays make the table; default all); grid (names: the arrays that fix the rows, where these
+are more than the columns); numPartitions, or else minPartitions and as many as the bytes ask for; kind (zarr or icechunk);
+batchRows; tests (comparisons of columns, packed: chunks without a row that passes are skipped) and prune (false: they are not). Spark
+filters the rows again. Filters and column lists come from plans.pruning; Spark's own pushdown is not taken (see there).
 """
 
 from __future__ import annotations
@@ -12,16 +14,30 @@ from pyspark.sql.types import StructType
 
 from gridloom.errors import ColumnRequestError, MetadataError
 from gridloom.operators.grid import nth, plan, share
-from gridloom.operators.predicates import column_of, mask, translate
+from gridloom.operators.predicates import column_of, mask, unpack
 from gridloom.sources.stores import TYPES, open_store
 from gridloom.streaming.batches import AHEAD, BATCH_ROWS, Reader, read_chunks
 
 
+PART_BYTES = 128 << 20  # of decoded arrays, for each partition
+
+
 class ChunkRun(InputPartition):
-    """A run of the chunks whose index is kept on every axis (the planner's reader isn't the one that tasks get, so a run says all)."""
+    """A run of the chunks whose index is kept on every axis (the planner's reader isn't the one that tasks get, so a run says all).
+
+    An axis is told by the stretches of indices that are kept.
+    """
 
     def __init__(self, start: int, stop: int, kept: list[np.ndarray]):
-        self.start, self.stop, self.kept = start, stop, kept
+        self.start, self.stop = start, stop
+        self.stretches = []
+        for own in kept:
+            first = np.flatnonzero(np.diff(own, prepend=-2) != 1)
+            self.stretches.append((own[first], np.diff(np.append(first, len(own)))))
+
+    @property
+    def kept(self) -> list[np.ndarray]:
+        return [np.concatenate([np.arange(a, a + n) for a, n in zip(*s)]) if len(s[0]) else np.zeros(0, np.int64) for s in self.stretches]
 
 
 def fields_of(metas: dict) -> str:
@@ -46,19 +62,15 @@ def check_declared(metas: dict, declared: StructType) -> None:
 
 class ZarrReader(DataSourceReader):
     def __init__(self, store, metas: dict, options: dict):
+        """metas: of the columns; the option grid names the arrays whose grid their rows are."""
         self.store, self.metas, self.names = store, metas, list(metas)
-        self.grid = plan(list(metas.values()))
-        self.parts = int(options.get("numpartitions", 8))
+        fixed = [n for n in options.get("grid", "").split(",") if n] or self.names
+        self.grid = plan(list((metas if fixed == self.names else chosen(store, fixed)).values()))
+        size = int(np.prod(self.grid.shape, dtype=object)) * sum(max(1, m.dtype.itemsize) for m in metas.values())
+        self.parts = int(options.get("numpartitions") or max(int(options.get("minpartitions", 8)), -(-size // PART_BYTES)))
         self.rows = int(options.get("batchrows", BATCH_ROWS))
-        self.prune = options.get("prune", "true").lower() != "false"
-        self.tests: list[tuple] = []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            t = translate(f)
-            if self.prune and t is not None and column_of(t) in self.metas:
-                self.tests.append(t)
-            yield f  # inexact: Spark applies every filter again
+        tests = unpack(options.get("tests", "")) if options.get("prune", "true").lower() != "false" else []
+        self.tests = [t for t in tests if column_of(t) in self.metas]
 
     def partitions(self):
         """One plan for all tasks: on every axis only chunks in which a coordinate can pass its tests stay."""
@@ -80,7 +92,8 @@ class ZarrReader(DataSourceReader):
 
     def read(self, partition):
         reader = Reader(self.store, self.metas, self.grid)
-        chunks = (nth(partition.kept, k) for k in range(partition.start, partition.stop))
+        kept = partition.kept
+        chunks = (nth(kept, k) for k in range(partition.start, partition.stop))
         yield from read_chunks(reader, self.names, chunks, self.tests, self.rows, AHEAD if self.store.remote else 1)
 
 
