@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 ROW_GROUP = 16 << 20  # bytes a task buffers of a scratch table: rows may be large blobs
+BATCH_BYTES = 16 << 20  # of a batch that goes to a Python worker
 
 
 class Scratch:
@@ -48,7 +50,7 @@ class Scratch:
         path, conf = f"{self.root}/{name}", self.spark.conf
         cores = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
         # What is written needs its shuffle files no more: they go at once, not when the driver happens to collect its garbage.
-        settings = {cores: "false" if small else conf.get(cores), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+        settings = {cores: "false" if small else conf.get(cores), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
         before = {k: conf.get(k) for k in settings}
         try:
             for k, v in settings.items():
@@ -107,11 +109,22 @@ def by_part(dealt: DataFrame, parts: int, f, kind: T.StructType) -> DataFrame:
     return dealt.repartition(MOST_TASKS, "part").groupBy("part").applyInArrow(_one_group(f), kind)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on beside the stages to come."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def _one_part(f):
     def run(batches):
         rows = [b for b in batches if len(b)]
         if rows:
             yield from f(rows)
+        del rows
+        give_back()
 
     return run
 

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blobs, by_part, components, docs_of, part_of, parts_for, ramp, schema, slice_bytes, slices, unblob
+from .common import Scratch, blobs, by_part, components, docs_of, give_back, part_of, parts_for, ramp, schema, slice_bytes, slices, unblob
 from .words import U64, distinct_shingles, flat, mix64
 
 RARE = 64  # most documents of a token that is indexed alone
@@ -111,6 +111,7 @@ def _deal(parts: int, k: int):
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([batch] * rows, pa.int64()), pa.array([wide] * rows), blobs(runs.astype("<u4" if wide else "<u2"), np.searchsorted(first, edges)), blobs(low, edges), pa.nulls(rows, pa.binary())], names=_PARTS.names)
                 yield pa.RecordBatch.from_arrays([pa.array([batch % parts], pa.int32()), pa.array([batch], pa.int64()), pa.array([wide]), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([info.tobytes()], pa.binary())], names=_PARTS.names)
+        give_back()
 
     return run
 

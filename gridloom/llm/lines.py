@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, blobs, by_part, components, part_of, parts_for, ramp, schema, slice_bytes, slices, unblob
+from .common import Scratch, blobs, by_part, components, give_back, part_of, parts_for, ramp, schema, slice_bytes, slices, unblob
 from .words import _BYTE, _IS_WORD, _MUL, U64, _power, flat, mix64, span_hashes
 
 EDITS = 2
@@ -195,6 +195,7 @@ def _index(parts: int, edits: int, least: int):
                 local = np.cumsum(new) - 1 - np.repeat(of_line[:-1], np.diff(edges))
                 lines = at[first]
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), blobs(h[lines], of_line), blobs(sig[lines], of_line), blobs(keys, edges), blobs(local.astype("<u4"), edges), blobs(role, edges)], names=_INDEX.names)
+        give_back()
 
     return run
 

@@ -12,7 +12,7 @@
 
 Only rows with crc32(doc_id as text) % 5 <> 0 are learned from.  Defined cases: null and empty texts get the
 score of a text without words; a null doc_id is never learned from and not held out; of several labels of a doc_id
-the largest counts; of rows that agree in doc_id and text a sample has one; null labels are left out; without labelled rows among the texts every score is 0.
+the largest counts; null labels are left out; without labelled rows among the texts every score is 0.
 """
 
 from __future__ import annotations
@@ -251,18 +251,15 @@ def _score(known: np.ndarray, w: np.ndarray, bias: float, own: list[str]):
     return run
 
 
-def _some(rows: DataFrame, most: int) -> DataFrame:
-    """So many rows at most, by hash of doc_id and text; of rows that agree in both one."""
-    h, t = F.xxhash64("doc_id", F.lit(7)), F.xxhash64("text")
-    rows = rows.withColumns({"h": h, "t": t})
-    n = rows.count()
+def _some_ids(ids: DataFrame, most: int) -> pa.Table:
+    """doc_ids (with their other columns) of so many rows at most, by hash; one that has more rows than that isn't taken."""
+    ids = ids.withColumn("h", F.xxhash64("doc_id", F.lit(7)))
+    n = ids.count()
     if n > 8 * most:  # a share of the hashes, from which the first ones are taken
-        rows = rows.where(F.col("h") <= int(-(2**63) + 2**64 * 4 * most // n))
-    last = rows.select("h", "doc_id", "t").distinct().orderBy("h", "doc_id", "t").limit(most).agg(F.max(F.struct("h", "doc_id", "t"))).first()[0]
-    if last is None:
-        return rows.drop("h", "t")
-    rows = rows.where(F.struct("h", "doc_id", "t") <= F.struct(*[F.lit(x).cast("long") for x in last]))
-    return rows.dropDuplicates(["doc_id", "t"]).drop("h", "t")
+        ids = ids.where(F.col("h") <= int(-(2**63) + 2**64 * 4 * most // n))
+    others = [F.max(c).alias(c) for c in ids.columns if c not in ("doc_id", "h")]
+    found = ids.groupBy("h", "doc_id").agg(F.count("*").alias("rows"), *others).where(F.col("rows") <= most).orderBy("h", "doc_id").limit(most).toArrow()
+    return found.filter(pa.array(np.cumsum(found["rows"].to_numpy()) <= most)).drop(["h", "rows"])
 
 
 def _learn(docs: DataFrame, labels: DataFrame, sample: int, unlabelled: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -273,10 +270,12 @@ def _learn(docs: DataFrame, labels: DataFrame, sample: int, unlabelled: int) ->
     learn = docs_of(docs, "doc_id", "text").where(fold != 0)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold != 0)
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = scratch.keep(_some(learn.join(marks, "doc_id"), sample).select("doc_id", "text", "toxic"))
-    n_rows, n_pos = own.agg(F.count("*"), F.sum("toxic")).first()
-    if not n_rows:
+    # Samples are of fixed size, and so are what is broadcast and what comes to the driver of them.
+    own = _some_ids(learn.select("doc_id").join(marks, "doc_id"), sample)
+    if not len(own):
         return np.zeros(0, U64), np.zeros(0), 0.0
+    own = scratch.keep(learn.join(F.broadcast(spark.createDataFrame(own)), "doc_id").select("text", "toxic"))
+    n_rows, n_pos = own.agg(F.count("*"), F.sum("toxic")).first()
     n_pos, n_neg = float(n_pos), float(n_rows - n_pos)
     counts = own.mapInArrow(_count, schema(feature="long", pos="long", neg="long")).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 3")
     a, b, c, d = F.col("pos") + 0.5, F.col("neg") + 0.5, F.lit(n_pos + 0.5) - F.col("pos"), F.lit(n_neg + 0.5) - F.col("neg")
@@ -292,9 +291,11 @@ def _learn(docs: DataFrame, labels: DataFrame, sample: int, unlabelled: int) ->
         return known, np.zeros(0), 0.0
     pos, neg = found["pos"].to_numpy(), found["neg"].to_numpy()
     voters = np.flatnonzero((pos + 0.5) * (n_neg + 1) > 8 * (neg + 0.5) * (n_pos + 1))[:LEXICON]
-    others = _some(learn.join(marks, "doc_id", "left_anti"), unlabelled).select("text", F.lit(-1).alias("toxic"))
-    # Their rows are bounded by the samples' documented sizes.
-    rows = own.select("text", "toxic").union(others).mapInArrow(_vote(known, voters, True), schema(votes="binary", features="binary", toxic="int")).toArrow()
+    others = _some_ids(learn.select("doc_id").join(marks, "doc_id", "left_anti"), unlabelled)
+    rows = own
+    if len(others):
+        rows = own.union(learn.join(F.broadcast(spark.createDataFrame(others)), "doc_id").select("text", F.lit(-1).alias("toxic")))
+    rows = rows.mapInArrow(_vote(known, voters, True), schema(votes="binary", features="binary", toxic="int")).toArrow()
     x, y = _unpack(rows["votes"], len(voters) + _PATTERNS), rows["toxic"].to_numpy().astype(float)
     marked = y >= 0
     patterns = scratch.keep(learn.select("text").mapInArrow(_vote(known, voters, False), schema(votes="binary")).groupBy("votes").agg(F.count("*").alias("rows")))
