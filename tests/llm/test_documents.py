@@ -316,8 +316,8 @@ def test_jaccard_empty(no_docs):
 # Lines
 
 
-def brute_lines(docs, edits=2, least=24):
-    """Rows of one id count as one document, last for null."""
+def brute_kept(docs, edits=2, least=24, short=False):
+    """doc_id, number of lines, of those that go, and the text left. Rows of one id count as one document, last for null."""
     key = [(1 << 63) - 1 if i is None else i for i, _ in docs]
     occ = [(k, n, line) for k, (_, t) in zip(key, docs) for n, line in enumerate((t or "").split("\n") if t else [])]
     lines = sorted({x for _, _, x in occ if len(x.encode()) >= least})
@@ -327,16 +327,24 @@ def brute_lines(docs, edits=2, least=24):
         for x, near in zip(b, edit_within([a.encode()] * len(b), [x.encode() for x in b], edits)):
             if near:
                 s.join(a, x)
+
+    def counts(x):
+        return len(x.encode()) >= least or short and x.strip(" \t\n\x0b\f\r") != ""
+
     first = {}
     for k, n, x in sorted(occ, key=lambda o: o[:2]):
-        if len(x.encode()) >= least:
+        if counts(x):
             first.setdefault(s.find(x), (k, n))
     out = []
     for k, (i, t) in zip(key, docs):
         own = (t or "").split("\n") if t else []
-        kept = [x for n, x in enumerate(own) if len(x.encode()) < least or first[s.find(x)] == (k, n)]
-        out.append((i, len(own), len(own) - len(kept), sha("\n".join(kept))))
-    return sorted(out, key=repr)
+        kept = [x for n, x in enumerate(own) if not counts(x) or first[s.find(x)] == (k, n)]
+        out.append((i, len(own), len(own) - len(kept), "\n".join(kept)))
+    return out
+
+
+def brute_lines(docs, edits=2, least=24, short=False):
+    return sorted(((i, n, gone, sha(kept)) for i, n, gone, kept in brute_kept(docs, edits, least, short)), key=repr)
 
 
 def test_edit_distance():
@@ -362,8 +370,9 @@ def test_edit_distance():
 
 
 def test_lines(odd_docs):
-    got = rows(dedup_lines(odd_docs, ("n_lines", "n_removed", "kept_sha256")), "doc_id", "n_lines", "n_removed", "kept_sha256")
-    assert got == brute_lines(pairs_of(odd_docs))
+    for short in (False, True):
+        got = rows(dedup_lines(odd_docs, ("n_lines", "n_removed", "kept_sha256"), short=short), "doc_id", "n_lines", "n_removed", "kept_sha256")
+        assert got == brute_lines(pairs_of(odd_docs), short=short)
 
 
 @pytest.mark.parametrize(("hot", "block"), [(64, 4096), (4, 4096), (2, 5)])
