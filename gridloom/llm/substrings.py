@@ -277,7 +277,8 @@ def dedup_substrings(docs: DataFrame, columns: tuple[str, ...] = ("n_bytes", "n_
     parts = parts_for(total * len(COVER) // V)
 
     def bucketed(dealt: DataFrame) -> DataFrame:
-        return scratch.keep(by_part(dealt, parts, _sorted_bucket, _ANSWER))
+        # Answers are small: dealt by batch, in which they are read, they make a few files instead of one for each part.
+        return scratch.keep(by_part(dealt, parts, _sorted_bucket, _ANSWER).repartition("batch"), small=True)
 
     packed = scratch.keep(docs.mapInArrow(_pack(parts), _PACKED))
     first = bucketed(packed.mapInArrow(_sampled(parts, length), _DEALT))
