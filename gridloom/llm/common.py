@@ -26,6 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 ROW_GROUP = 16 << 20  # bytes a task buffers of a scratch table: rows may be large blobs
 BATCH_BYTES = 16 << 20  # of a batch that goes to a Python worker
+#: Where Hadoop's native library is missing, its local file system starts a process for every file, checksum file and folder that a task makes,
+#: which counts as a second JVM until its program begins. Tables that go again need no checksum files; other file systems ignore this.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 class Scratch:
@@ -55,7 +58,7 @@ class Scratch:
         try:
             for k, v in settings.items():
                 conf.set(k, v)
-            df.write.mode(mode).option("parquet.block.size", ROW_GROUP).parquet(path)
+            df.write.mode(mode).options(**PLAIN_FILES).option("parquet.block.size", ROW_GROUP).parquet(path)
         finally:
             for k, v in before.items():
                 conf.set(k, v)

@@ -511,7 +511,8 @@ class JaccardJoin:
         found = found.distinct()
         for c in "uv":
             found = found.join(self.nodes.select(F.col("doc_id").alias(c), F.col("n").alias("n" + c), F.col("seq").alias("s" + c)), c)
-        return self.scratch.keep(found.mapInArrow(_verify(self.num), _PAIR))
+        # Verified pairs are few bytes in as many tasks as the join has.
+        return self.scratch.keep(found.mapInArrow(_verify(self.num), _PAIR).hint("rebalance"), small=True)
 
     def _hot_pairs(self, nodes: DataFrame) -> DataFrame:
         """Pairs of different components under keys that may be hot; of a key's largest component each member is in one block."""

@@ -1,5 +1,6 @@
 """The pipeline's stages, each against what it has to do with its own input."""
 
+import os
 import re
 
 import public_tokenizers
@@ -7,10 +8,10 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from gridloom.llm.jaccard import jaccard_components
+from gridloom.llm.jaccard import JaccardJoin, jaccard_components
 from gridloom.llm.toxicity import toxicity
 
-from .test_documents import brute_jaccard, brute_kept, sha
+from .test_documents import brute_jaccard, brute_kept, near_docs, sha
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,6 +55,15 @@ def test_jaccard(stages):
     assert {r.doc_id for r in out.collect()} == want
 
 
+def test_jaccard_join_writes_few_files(spark, words):
+    """Each file, checksum file and folder that a task makes may start a process, which counts as a second JVM until it runs its program."""
+    join = JaccardJoin(spark.createDataFrame(near_docs(words, 150), "doc_id long, text string"), rare=4)
+    assert join.links().count() > 0
+    files = [os.path.join(d, f) for d, _, names in os.walk(join.scratch.root) for f in names]
+    assert sum(f.startswith(f"{join.scratch.made[-1]}/part-") for f in files) == 1
+    assert files and not [f for f in files if f.endswith(".crc")]
+
+
 def test_mix_repeats_whole_documents(stages):
     docs, out = stages["mix_sources"]
     texts = {r.doc_id: r.text for r in docs.collect()}
