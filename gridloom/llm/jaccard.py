@@ -38,21 +38,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blobs, by_part, components, docs_of, give_back, part_of, parts_for, ramp, schema, slice_bytes, slices, unblob
+from .common import KEYS, Scratch, blobs, by_part, components, docs_of, give_back, part_of, parts_for, ramp, schema, slice_bytes, slices, unblob
 from .words import U64, distinct_shingles, flat, mix64
 
 RARE = 64  # most documents of a token that is indexed alone
 STARS = 32  # pivots of a bucket in the first round, one after the other
 GROUP = 32  # a set of 2**i to 2**(i+1) tokens has 2**i / GROUP token classes, one at least
 HOT = 1 << 16  # most documents of a bucket of the first round
-BITS = 4096  # of a parity bitmap, at most
+BITS = 2048  # of a parity bitmap, at most
 WIDTH = 6  # bytes of a token that are sent
+ENTRY = 16  # bytes of a key in the index
 _ODD = U64(0x9E3779B97F4A7C15)
 _PARTS = schema(part="int", batch="long", wide="boolean", runs="binary", tokens="binary", info="binary")
 _SHARED = schema(part="int", batch="long", wide="boolean", runs="binary", tokens="binary", df="binary", info="binary")
 _SETS = schema(doc_id="long", n="int", fp="binary", uniq="int", n_rare="int", score="float", seq="binary", df="binary")
 _INDEX = schema(part="int", docs="binary", bits="binary", keys="binary", at="binary", pos="binary")
 _ENTRY = schema(key="long", blocks="int", doc_id="long", comp="long", n="int", uniq="int", pos="int", bits="binary")
+_SIZES = schema(rows="double", whole="double", keys="double")
 _PAIR = schema(u="long", v="long")
 _DOC = np.dtype([("id", "<i8"), ("comp", "<i8"), ("n", "<i4"), ("uniq", "<i4"), ("score", "<f4")])
 _INFO = np.dtype([("valid", "u1"), ("id", "<i8"), ("n", "<i4"), ("fp", "V16")])
@@ -200,8 +202,8 @@ def _log2(n: np.ndarray) -> np.ndarray:
 
 
 def _words_of(n: np.ndarray) -> np.ndarray:
-    """64-bit words of the parity bitmap of a set of n tokens: two to four bits a token, up to BITS."""
-    return np.maximum(1, np.minimum(BITS, 1 << (_log2(np.maximum(2 * n - 1, 1)) + 1)) >> 6)
+    """64-bit words of the parity bitmap of a set of n tokens: one to two bits a token, up to BITS."""
+    return np.maximum(1, np.minimum(BITS, 1 << _log2(np.maximum(2 * n - 1, 1))) >> 6)
 
 
 def _bitmaps(seq: np.ndarray, edges: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -242,6 +244,41 @@ def index_keys(seq: np.ndarray, df: np.ndarray, edges: np.ndarray, n: np.ndarray
         yield doc[i], key, at[j] + uniq[doc[i]], most
 
 
+def key_counts(size: np.ndarray, n: np.ndarray, uniq: np.ndarray, n_rare: np.ndarray, num: int) -> np.ndarray:
+    """How many keys index_keys makes of sets with so many shared tokens: single tokens exactly, combinations as hashes deal them on average."""
+    prefix, floor = n - _needed(n, num) + 1 - uniq, int(_log2(np.array([GROUP]))[0])
+    low, high = np.maximum(_log2(n), floor), np.maximum(_log2(n * 100 // num), floor)
+    plain = n_rare >= prefix
+    out = np.minimum(np.where(plain, prefix, np.minimum(n_rare, prefix + (1 << high) // GROUP)), size).astype(np.float64)
+    for step in range(int((high - low).max(initial=0)) + 1):
+        groups = (1 << (low + step)) // GROUP
+        most = np.minimum(size, prefix + groups)
+        often = most - np.minimum(n_rare, most)
+        out += np.where(~plain & (low + step <= high), often * (often - 1) / (2 * groups), 0)
+    return out
+
+
+def index_parts(rows: float, whole: float, keys: float) -> int:
+    """Parts for an index of so many keys, so that each is as large as KEYS keys are.
+
+    rows: bytes of all documents' rows and bitmaps, once each; whole: the same once for each of their keys. A part has each document once at
+    most, and all parts together have it once a key at most.
+    """
+    size, entries = KEYS * ENTRY, keys * ENTRY
+    return parts_for(int(min(whole + entries, entries * size / (size - rows) if rows < size else np.inf)) // ENTRY, 12)
+
+
+def _sizes(num: int):
+    """For each batch of nodes what index_parts asks for."""
+    def run(batches):
+        for b in batches:
+            n, uniq, n_rare, size = (b.column(c).to_numpy().astype(np.int64) for c in ("n", "uniq", "n_rare", "size"))
+            keys, row = key_counts(size, n, uniq, n_rare, num), _DOC.itemsize + 8 * _words_of(n)
+            yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in (row.sum(), (row * keys).sum(), keys.sum())], names=_SIZES.names)
+
+    return run
+
+
 def _entries(b: pa.RecordBatch, num: int, hot: int):
     """The documents of a batch of nodes, their bitmaps and index keys."""
     docs = np.zeros(len(b), _DOC)
@@ -499,8 +536,9 @@ class JaccardJoin:
         #: a representative of each class of equal sets
         self.classes = self.scratch.keep(first.select("fp", "r.*"))
         self.nodes = self.classes.where("seq is not null").drop("fp")
-        size, most = self.nodes.agg(F.sum(F.octet_length("seq")), F.count("*")).first()
-        self.parts, self.may_be_hot = parts_for(3 * (size or 0) // 8, 12), most > hot
+        sizes = self.nodes.select("n", "uniq", "n_rare", (F.octet_length("seq") / 8).cast("int").alias("size")).mapInArrow(_sizes(percent), _SIZES)
+        self.parts = index_parts(*(x or 0 for x in sizes.agg(*[F.sum(c) for c in _SIZES.names]).first()))
+        self.may_be_hot = self.nodes.count() > hot
 
     def _pairs(self, comps: DataFrame | None, stars: bool) -> DataFrame:
         nodes = self.nodes.withColumn("comp", F.col("doc_id")) if comps is None else self.nodes.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")

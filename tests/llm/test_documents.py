@@ -292,6 +292,20 @@ def test_jaccard_combinations_of_long_sets(spark):
     assert len(only) > 100 and all(by[i]["pairs"] & by[j]["pairs"] for i, j in only)
 
 
+@pytest.mark.parametrize("rare", [2, 64])
+def test_jaccard_index_has_as_many_parts_as_its_keys_ask_for(spark, monkeypatch, rare):
+    """A document's row and bitmap go to each part that has a key of it: more parts than keys ask for are traffic that grows faster than the input."""
+    import gridloom.llm.common as common
+    from gridloom.llm import jaccard
+
+    for module in (common, jaccard):
+        monkeypatch.setattr(module, "KEYS", 4000, raising=False)
+    join = JaccardJoin(spark.createDataFrame(long_docs(), "doc_id long, text string"), rare=rare)
+    nodes = join.nodes.withColumn("comp", F.col("doc_id")).toArrow().combine_chunks()
+    size = sum(b.nbytes for b in jaccard._index(join.parts, 75, True, jaccard.HOT)(nodes.to_batches()))
+    assert join.parts == 12 or 0.5 < size / join.parts / (4000 * 16) < 1.25
+
+
 @pytest.mark.parametrize("hot", [4, 1 << 16])
 def test_jaccard_hot_combinations_are_split(spark, words, hot):
     """Keys of more than a few documents are split in blocks, and the result is the same."""
