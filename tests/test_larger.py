@@ -1,6 +1,9 @@
 """What shows on larger tables only, on tables that are just large enough."""
 
+import pytest
+
 from gridloom.plans import catalog
+from gridloom.sources.writer import write_table
 
 
 def test_exact_median_and_no_state_for_each_order(spark, tmp_path):
@@ -17,3 +20,19 @@ def test_exact_median_and_no_state_for_each_order(spark, tmp_path):
 def test_estimates_of_no_rows(spark, tmp_path):
     spark.range(0).selectExpr("id as l_orderkey", "cast(id as double) as l_quantity", "timestamp_ntz '1995-01-01' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert tuple(catalog.queries()["approx_distinct"](spark, str(tmp_path)).first()) == (True, 0, None)
+
+
+def test_types_of_large_keys(spark, tmp_path):
+    keys = [1, 42_949, 42_950, 119_999]
+    rows = ", ".join(f"({k}L, 'name', 7, 1.5D)" for k in keys)
+    spark.sql(f"SELECT * FROM VALUES {rows} AS t(p_partkey, p_name, p_size, p_retailprice)").write.parquet(f"{tmp_path}/part.parquet")
+    df = catalog.queries()["scan_all_types"](spark, str(tmp_path))
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema if f.name.startswith("c_u")] == [("c_u8", "smallint"), ("c_u16", "int"), ("c_u32", "bigint"), ("c_u64", "double")]
+    got = df.select("p_partkey", "c_u8", "c_u16", "c_u32", "c_u64").orderBy("p_partkey").collect()
+    assert [tuple(r) for r in got] == [(k, 7, k % 60000, k * 100000, k * 1e12) for k in keys]
+
+
+@pytest.mark.parametrize("value, kind", [(1 << 32, "uint32"), (-1, "uint64"), (200, "int8")])
+def test_writer_wraps_nothing(spark, tmp_path, value, kind):
+    with pytest.raises(Exception, match=f"column x has values that are no {kind}"):
+        write_table(spark.range(1).selectExpr(f"{value}L as x"), str(tmp_path), 10, {"x": kind})
